@@ -79,6 +79,11 @@ def unfold(df: DataFrame, columns: Iterable[str], **new: Column) -> DataFrame:
     return df.select(*out, *[v.alias(k) for k, v in new.items() if named.get(k.lower()) != k])
 
 
+def fixed(df: DataFrame, **new: Column) -> DataFrame:
+    """Columns that are computed once per row: the optimizer does not copy them into lambdas that use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in new.items()]))))
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """node and label (the smallest node it is joined with) for each end of links (a, b).
 

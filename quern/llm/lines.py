@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, ascii_lower, column, unfold, with_row
+from .common import SPACES, Scratch, ascii_lower, column, fixed, unfold, with_row
 
 KEY = ("h1", "h2")
 
@@ -117,9 +117,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs.close()
     drops = gone.groupBy("__id", "th").agg(F.collect_set("pos").alias("drop")).withColumnsRenamed({"__id": "i", "th": "t"})
     met = rows.withColumn("th", F.xxhash64("__text")).join(drops.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
-    lines = F.split("__text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+    met = fixed(met, lines=F.split("__text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     kept = F.when(F.col("drop").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n"))
-    met = met.withColumn("lines", lines)
     n_lines, n_dropped = F.size("lines").cast("long"), F.coalesce(F.size("drop"), F.lit(0)).cast("long")
     return unfold(met, docs.columns, **{text_col: kept, "n_lines": n_lines, "n_dropped": F.when(F.col("drop").isNull(), 0).otherwise(n_dropped).cast("long")})
