@@ -42,18 +42,21 @@ def count_of(text: Column, marks: str) -> Column:
     return F.length(text) - F.length(F.translate(text, marks, ""))
 
 
-def line_failed(line: Column, least_marks: int = 4, least_unpunctuated: int = 12) -> Column:
-    """Whether a line fails: marks of one kind for every third word, page furniture, the same few words over and over, or many words without any sentence mark."""
-    found = words(line)
-    n = F.size(found)
-    few = (n >= 8) & (F.size(F.array_distinct(found)) * 3 <= n)
-    out = few | ((n >= least_unpunctuated) & (count_of(line, ".!?:;,…。") == 0))
+def line_facts(line: Column) -> Column:
+    """What the line rules look at, computed once a line."""
+    return F.struct(line.alias("line"), words(line).alias("w"), F.lower(line).alias("low"), F.length(line).alias("n"))
+
+
+def line_failed(x: Column, least_marks: int = 4, chars_a_mark: int = 16, least_unpunctuated: int = 12) -> Column:
+    """Whether a line (its facts) fails: many marks of one kind, page furniture, the same few words over and over, or many words without any sentence mark."""
+    line, n = x["line"], F.size(x["w"])
+    out = (n >= least_unpunctuated) & ~line.rlike("[.!?:;,…。]")
     for marks in MARKS.values():
-        out = out | (count_of(line, marks) >= F.greatest(F.lit(least_marks), n / 3))
-    low = F.lower(line)
+        count = count_of(line, marks)
+        out = out | ((count >= least_marks) & (chars_a_mark * count >= x["n"]))
     for phrase in BOILERPLATE:
-        out = out | low.contains(phrase)
-    return out
+        out = out | x["low"].contains(phrase)
+    return out | ((n >= 8) & (F.size(F.array_distinct(x["w"])) * 3 <= n))
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", least_words: int = 50, most_repeats: int = 50, most_lost: int = 50) -> DataFrame:
@@ -70,10 +73,11 @@ def clean_lines(docs: DataFrame, text_col: str = "text", least_words: int = 50,
     text = F.col("__text")
     rows = fixed(rows, w=words(text), ls=F.split(text, "\n", -1))
     rows = fixed(rows, ordered=sorted_windows(F.col("w")), full=F.filter("ls", lambda x: F.btrim(x, F.lit(SPACES)) != ""))
-    rows = fixed(rows, n=F.size("w").cast("long"), rep=covered(F.col("ordered")).cast("long"), bad=F.filter("full", lambda x: line_failed(x)))
-    rows = rows.withColumn("lost", F.aggregate("bad", F.lit(0).cast("long"), lambda n, x: n + F.size(words(x))))
+    rows = fixed(rows, facts=F.transform("full", lambda x: line_facts(x)))
+    rows = fixed(rows, n=F.size("w").cast("long"), rep=covered(F.col("ordered")).cast("long"), bad=F.filter("facts", lambda x: line_failed(x)))
+    rows = rows.withColumn("lost", F.aggregate("bad", F.lit(0).cast("long"), lambda n, x: n + F.size(x["w"])))
     failed = (F.col("n") < least_words) | (100 * F.col("rep") > most_repeats * F.col("n"))
-    good = F.when(F.size("bad") == 0, text).otherwise(F.array_join(F.filter("ls", lambda x: (F.btrim(x, F.lit(SPACES)) == "") | ~line_failed(x)), "\n"))
+    good = F.when(F.size("bad") == 0, text).otherwise(F.array_join(F.transform(F.filter(F.transform("ls", lambda x: line_facts(x)), lambda x: (F.size(x["w"]) == 0) | ~line_failed(x)), lambda x: x["line"]), "\n"))
     return unfold(
         rows, docs.columns, n_words=F.col("n"), word_chars=F.length(F.translate(text, SPACES, "")).cast("long"),
         n_symbols=count_of(text, SYMBOLS).cast("long"), n_dup_lines=(F.size("full") - F.size(F.array_distinct("full"))).cast("long"),

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hosts import filter_urls
+from .importance import importance
 from .jaccard import jaccard_components
+from .licenses import scan_licenses
 from .lines import dedup_lines
+from .media import media_columns
+from .mixing import mix
+from .packing import pack
 from .quality import clean_lines
 from .toxicity import toxicity
 
@@ -43,7 +48,42 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "n_lost_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_url_filter, op5_quality_rules)}
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_grams", "log_weight", "score", "kept", "gumbel_key", "sampled")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OPERATORS = (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_url_filter, op5_quality_rules, op6_source_mix, op7_license_scan, op8_importance, op9_media_columns, op10_packing)
+QUERIES = {f.__name__: f for f in (*OPERATORS, pipeline)}
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
