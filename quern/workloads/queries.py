@@ -84,7 +84,7 @@ DIMS = f"{STAR} JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_natio
 PARTS = f"{STAR} JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 SQL = {
     "q1": f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum({REV}), 4) AS sum_disc, round(sum({REV} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 4) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-01 00:00:00' GROUP BY l_returnflag, l_linestatus",
-    "q2": "WITH best AS (SELECT l_partkey, min(l_extendedprice / l_quantity) AS cost FROM lineitem GROUP BY l_partkey) SELECT s_acctbal, s_name, n_name, p_partkey, round(cost, 4) AS cost FROM part JOIN lineitem ON p_partkey = lineitem.l_partkey JOIN best ON best.l_partkey = lineitem.l_partkey AND l_extendedprice / l_quantity = cost JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_size = 15 AND p_type LIKE '%S%' ORDER BY s_acctbal DESC, n_name, s_name, p_partkey, cost LIMIT 100",
+    "q2": "WITH best AS (SELECT l_partkey, min(l_extendedprice / l_quantity) AS cost FROM lineitem GROUP BY l_partkey) SELECT s_acctbal, s_name, n_name, p_partkey, round(cost, 6) AS cost FROM part JOIN lineitem ON p_partkey = lineitem.l_partkey JOIN best ON best.l_partkey = lineitem.l_partkey AND l_extendedprice / l_quantity = cost JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_size = 15 AND p_type LIKE '%S%' ORDER BY s_acctbal DESC, n_name, s_name, p_partkey, cost LIMIT 100",
     "q3": f"SELECT l_orderkey, round(sum({REV}), 4) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1995-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate",
     "q4": "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1996-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-07-01 00:00:00' + INTERVAL 3 MONTH AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority",
     "q5": f"SELECT n_name, round(sum({REV}), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY n_name",

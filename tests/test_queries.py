@@ -21,7 +21,7 @@ def duck():
 
 def normal(rows, names):
     order = sorted(range(len(names)), key=lambda k: names[k])
-    flat = lambda v: round(v, 4) + 0.0 if isinstance(v, float) and not math.isnan(v) else v
+    flat = lambda v: round(v, 3) + 0.0 if isinstance(v, float) and not math.isnan(v) else v
     return sorted((tuple(flat(r[k]) for k in order) for r in rows), key=str)
 
 
