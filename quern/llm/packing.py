@@ -12,6 +12,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ class Encoder:
     of its words in a row.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,23 +46,30 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
+        """Put the ids of all words into the young generation; plain words before one mark are learned without it."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        new = []
+        young, old, new, tails = self.young, self.old, set(), []
         for w in words:
-            if w not in self.young:
-                if w in self.old:
-                    self.young[w] = self.old[w]
-                elif "<|" in w or self.mark is None:
-                    self.young[w] = self.ids(w)
-                else:
-                    new.append(w)
-        for k in range(0, len(new), 4000):
-            some = new[k : k + 4000]
-            found = np.array(self.tokenizer.encode(MARK.join(some), add_special_tokens=False).ids, "<u4")
+            if w in young:
+                continue
+            if w in old:
+                young[w] = old[w]
+            elif "<|" in w or self.mark is None:
+                young[w] = self.ids(w)
+            elif w[-1] in ".,;:!?" and (base := w[:-1]).isalpha() and max(base) < "\u0250":
+                tails.append(w)
+                new.update(x for x in (base, w[-1]) if x not in young)
+            else:
+                new.add(w)
+        todo = list(new)
+        for k in range(0, len(todo), 1000):
+            some = todo[k : k + 1000]
+            found = np.array(self.tokenizer.encode_batch_fast([MARK.join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = [-1, *np.flatnonzero(found == self.mark).tolist(), len(found)]
             data = found.tobytes()
-            self.young.update((w, data[4 * a + 4 : 4 * b]) for w, a, b in zip(some, at[:-1], at[1:], strict=True))
+            young.update((w, data[4 * a + 4 : 4 * b]) for w, a, b in zip(some, at[:-1], at[1:], strict=True))
+        young.update((w, young[w[:-1]] + young[w[-1]]) for w in tails)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -72,12 +80,23 @@ class Encoder:
 
 
 def _words(text: str) -> list[str]:
-    """Words between white space; str.split also splits at 0x1C-0x1F, which the vocabulary holds as characters."""
+    """Words between white space, lower-cased where that is sure to be what the vocabulary's own rules would do.
+
+    Those compose characters, then lower-case each by itself: a text that is
+    composed before and after lower-casing, without a sigma or special token,
+    gives the same.  str.split also splits at 0x1C-0x1F, which the vocabulary
+    holds as characters.
+    """
+    if "<|" not in text and "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low := text.lower()):
+        text = low
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [w for w in text.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+        return [w for w in text.translate(_ODD).split(" ") if w]
     return text.split()
 
 
+_ODD = {k: " " for k in range(9, 14)}
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
