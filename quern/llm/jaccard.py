@@ -155,12 +155,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     prefixes = rows.select("text").mapInArrow(_prefixes(words, percent, rank, fans), "key long, salt int, salted boolean, cls long, place long")
     met = Window.partitionBy("key", "salt")
-    held = prefixes.withColumn("low", F.min("cls").over(met)).withColumn("high", F.max("cls").over(met))
-    order = F.xxhash64("cls", F.pmod("key", F.lit(4)))
-    line = met.orderBy(order, "cls")
-    held = held.where((F.col("low") != F.col("high")) | F.col("salted"))
-    held = held.withColumns({"near": F.lag(F.struct("cls", "place")).over(line), "pivot": F.first(F.struct("cls", "place")).over(met.orderBy("cls"))})
-    index = scratch.put(held.drop("low", "high"), "index")
+    held = prefixes.withColumns({"low": F.min("cls").over(met), "high": F.max("cls").over(met), "size": F.count("*").over(met)})
+    held = held.where((F.col("low") != F.col("high")) | F.col("salted")).drop("low", "high")
+    shared = scratch.put(held, "shared")
+    # a text near the middle of a group of copies shares most prefix keys with most of them: it is the pivot
+    weights = shared.groupBy("cls").agg(F.sum("size").alias("weight"))
+    line = met.orderBy(F.xxhash64("cls", F.pmod("key", F.lit(4))), "cls")
+    best = met.orderBy(F.col("weight").desc(), "cls")
+    index = shared.drop("size").join(weights, "cls").withColumns({"near": F.lag(F.struct("cls", "place")).over(line), "pivot": F.first(F.struct("weight", "cls", "place")).over(best)})
+    index = scratch.put(index.drop("weight"), "index")
+    scratch.drop("shared")
 
     def split(place: Column) -> tuple[Column, Column]:
         return F.shiftright(place, 32), place.bitwiseAND(F.lit(0xFFFFFFFF))
@@ -169,7 +173,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         near = _close(*split(F.col("place")), *split(other["place"]), percent)
         return df.where((F.col("cls") != other["cls"]) & near).select(F.least("cls", other["cls"]).alias("a"), F.greatest("cls", other["cls"]).alias("b"))
 
-    tops = index.where("salted").groupBy("key", "salt").agg(F.first("pivot").alias("p")).groupBy("key").agg(F.min("p").alias("top"))
+    tops = index.where("salted").groupBy("key", "salt").agg(F.first("pivot").alias("p")).groupBy("key").agg(F.max("p").alias("top"))
     salted = index.where("salted").join(tops, "key").select("cls", "place", "top")
     offered = pairs(index, F.col("near")).union(pairs(index, F.col("pivot"))).union(pairs(salted, F.col("top")))
     first = scratch.put(offered.distinct(), "first")
@@ -209,6 +213,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = classes.withColumn("label", F.coalesce("label", F.struct("d1", "d2")))
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
     classes = scratch.put(classes.join(least, "label").select("d1", "d2", "links", "component"), "classes")
+    scratch.drop("index", "first", "texts", "links-1", "links-2")
     out = members.join(classes, ["d1", "d2"], "left")
     name = F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0"))
     return out.select(

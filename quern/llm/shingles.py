@@ -8,8 +8,11 @@ base.  A shingle's hash mixes the hashes of its words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240607)
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,6 +74,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, offsets)
 
 
+def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
+    """The array in parts of about so many bytes, so that temporaries stay small; one text is never cut."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most_bytes, "right")))
+        yield texts.slice(low, high - low)
+        low = high
+
+
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string())
     if texts.null_count:
@@ -87,6 +101,10 @@ def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
     A text of fewer words gives one shingle, its whole sequence; a text
     without words, or null, gives none.
     """
+    return [found for part in slices(texts) for found in _sets(part, words)]
+
+
+def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     hashes, bounds = word_hashes(texts)
     n = len(hashes)
     windows = np.zeros(max(0, n - words + 1), np.uint64)
