@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, column, unfold, with_row
-from .shingles import mix, word_hashes
+from .shingles import mix, slices, word_hashes
 
 BITS = 16
 PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -43,7 +43,8 @@ def counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            total += np.bincount(grams(batch.column(0))[0], minlength=1 << BITS)
+            for part in slices(batch.column(0)):
+                total += np.bincount(grams(part)[0], minlength=1 << BITS)
         parts = np.split(total, 16)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "n"])
 
@@ -67,9 +68,13 @@ def ratios(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np.nd
 
 def weigh(texts: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of n-grams and summed log ratio of each text."""
-    found, at = grams(texts)
-    sums = np.concatenate(([0.0], np.cumsum(ratio[found])))
-    return np.diff(at), sums[at[1:]] - sums[at[:-1]]
+    n, w = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for part in slices(texts):
+        found, at = grams(part)
+        sums = np.concatenate(([0.0], np.cumsum(ratio[found])))
+        n.append(np.diff(at))
+        w.append(sums[at[1:]] - sums[at[:-1]])
+    return np.concatenate(n), np.concatenate(w)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
