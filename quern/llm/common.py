@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,18 +65,16 @@ def column(name: str) -> Column:
 
 
 def with_row(df: DataFrame, **named: str) -> DataFrame:
-    """The input's rows whole as __row, beside the columns an operator works on.
-
-    No column of the input can then clash with one of the operator's.
-    """
-    return df.select(F.struct(*[column(c) for c in df.columns]).alias("__row"), *[column(c).alias(k) for k, c in named.items()])
+    """The input's columns as __in0, __in1, ... beside those an operator works on, so that no names clash."""
+    return df.select(*[column(c).alias(f"__in{k}") for k, c in enumerate(df.columns)], *[column(c).alias(k) for k, c in named.items()])
 
 
-def unfold(df: DataFrame, columns: Iterable[str], **new: Column) -> DataFrame:
-    """The input's columns again, with `new` in place of those of the same name or after them."""
-    named = {c.lower(): c for c in columns}
-    out = [new.get(c, F.col("__row").getField(c)).alias(c) for c in columns if c in new or c.lower() not in {n.lower() for n in new}]
-    return df.select(*out, *[v.alias(k) for k, v in new.items() if named.get(k.lower()) != k])
+def unfold(df: DataFrame, columns: Sequence[str], **new: Column) -> DataFrame:
+    """The input's columns again, with `new` in place of those of the same name (in any case) or after them."""
+    taken = {n.lower(): n for n in new}
+    out = [new[taken[c.lower()]].alias(taken[c.lower()]) if c.lower() in taken else F.col(f"__in{k}").alias(c) for k, c in enumerate(columns)]
+    there = {c.lower() for c in columns}
+    return df.select(*out, *[v.alias(k) for k, v in new.items() if k.lower() not in there])
 
 
 def fixed(df: DataFrame, **new: Column) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, column, components, with_row
+from .common import Scratch, column, components, unfold, with_row
 from .shingles import mix, shingle_sets
 
 BITS = 18
@@ -233,4 +233,4 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = with_row(docs, __id=id_col, __text=text_col).withColumn("__n", F.xxhash64("__text"))
     bare = F.coalesce(F.btrim("__text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
     stay = rows.where(~bare).join(chosen.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("i")), "left_semi").dropDuplicates(["__id"])
-    return rows.where(bare).select("__row.*").unionByName(stay.select("__row.*"))
+    return unfold(rows.where(bare), docs.columns).unionByName(unfold(stay, docs.columns))

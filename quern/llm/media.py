@@ -160,6 +160,8 @@ class ArchiveReader(DataSourceReader):
         raise OSError(f"{path} at {at}: {last}")
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         fs, _ = place(self.folder)
         with fs.open_input_stream(partition.archive.removesuffix(".tar") + ".idx") as f:
             marks = np.frombuffer(f.read(), np.int64)

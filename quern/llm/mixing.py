@@ -121,7 +121,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.join(taken, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")))
     full = F.transform("turns", lambda x: F.array_repeat(x["size"], (x["taken"] / x["size"]).cast("int")))
     part = F.transform("turns", lambda x: F.when(x["taken"] % x["size"] > 0, F.array(x["taken"] % x["size"])).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.select("__row", "__text", F.get("turns", F.lit(0))["size"].alias("n"), F.explode(F.concat(F.flatten(full), F.flatten(part))).alias("take"))
+    rows = rows.select("*", F.get("turns", F.lit(0))["size"].alias("n"), F.explode(F.concat(F.flatten(full), F.flatten(part))).alias("take"))
     text = F.when(F.col("take") == F.col("n"), F.col("__text")).otherwise(F.array_join(F.slice(words(F.col("__text")), F.lit(1), F.col("take").cast("int")), " "))
     new = {text_col: text}
     if "n_chars" in docs.columns:

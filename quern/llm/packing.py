@@ -33,7 +33,7 @@ class Encoder:
     of its words in a row.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -115,6 +115,7 @@ def _pieces(path: str, size: int, end: int):
                     n = len(ids) // 4
                     rows += [(key, a, min(size, n - a), zlib.crc32(ids[4 * a : 4 * (a + size)]), n) for a in range(0, n, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+        codec.old = {}  # a worker keeps one generation for its next task
 
     return run
 

@@ -163,12 +163,12 @@ def learn(rows: list[tuple[str, int]], stems: tuple[int, ...] = (4, 5, 6), least
     Toxic texts that share their smallest word hashes count once, so a group of
     copies teaches no word of its own.
     """
-    toxic, clean, held = [], [], set()
+    toxic, held, clean = [], set(), sum(not label for _, label in rows)
     for text, label in rows:
-        found = set(WORD.findall(text.lower()))
         if not label:
-            clean.append(found)
-        elif (copy := tuple(sorted(zlib.crc32(w.encode()) for w in found)[:3])) not in held:
+            continue
+        found = set(WORD.findall(text.lower()))
+        if (copy := tuple(sorted(zlib.crc32(w.encode()) for w in found)[:3])) not in held:
             held.add(copy)
             toxic.append(found)
     lexicon: dict[str, float] = {}
@@ -176,8 +176,11 @@ def learn(rows: list[tuple[str, int]], stems: tuple[int, ...] = (4, 5, 6), least
         hits = Counter(e for doc in toxic for e in {e for w in doc for e in _entries(w, stems)})
         least = max(4, 0.003 * len(toxic))
         hits = {e: n for e, n in hits.items() if n >= least}
-        misses = Counter(e for doc in clean for e in {e for w in doc for e in _entries(w, stems) if e in hits})
-        odds = {e: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((misses[e] + 0.5) / (len(clean) + 1)) for e, n in hits.items()}
+        misses: Counter[str] = Counter()
+        for text, label in rows:  # one text's words at a time
+            if not label:
+                misses.update({e for w in set(WORD.findall(text.lower())) for e in _entries(w, stems) if e in hits})
+        odds = {e: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((misses[e] + 0.5) / (clean + 1)) for e, n in hits.items()}
         best = sorted((e for e in odds if odds[e] >= least_odds), key=lambda e: (-odds[e] * hits[e], e))[:size]
         lexicon = {e: round(min(odds[e], 8.0) / 4, 4) for e in best}
     model = {"lexicon": lexicon, "bias": -2.0, "beta": [1.0] * len(EVENTS) + [1.0, 2.0, 0.0]}
