@@ -105,7 +105,8 @@ def cut(samples: DataFrame, ratio: np.ndarray) -> float:
                 best = float(x[k] if k == 0 else (x[k - 1] + x[min(k, len(x) - 1)]) / 2)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(best)])], names=["cut"])
 
-    found = json.loads(samples.repartition(1).mapInArrow(run, "cut string").first()[0])
+    row = samples.repartition(1).mapInArrow(run, "cut string").first()  # no task without rows
+    found = json.loads(row[0]) if row else None
     return -math.inf if found is None else found
 
 

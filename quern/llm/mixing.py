@@ -80,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = targets(named, weights, float(cap)).withColumn("limit", F.round("target").cast("long"))
     ahead = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     sums = F.sum("target").over(Window.partitionBy())
-    low = F.coalesce(F.sum("target").over(ahead), F.lit(0.0)) / sums
+    low = F.try_divide(F.coalesce(F.sum("target").over(ahead), F.lit(0.0)), sums)
     plan = plan.withColumns({"low": low, "all": sums}).withColumn("high", F.coalesce(F.lead("low").over(Window.orderBy("sid")), F.lit(1.0)))
     plan = scratch.put(plan, "plan")
     facts = plan.agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()

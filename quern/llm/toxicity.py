@@ -210,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(learn([x[1:] for x in found]))])], names=["model"])
 
-    return json.loads(rows.select("i", "t", "y").repartition(1).mapInArrow(run, "model string").first()[0])
+    found = rows.select("i", "t", "y").repartition(1).mapInArrow(run, "model string").first()  # no task without rows
+    return json.loads(found[0]) if found else learn([])
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ def test_supplied_documents(spark):
 
 
 def test_odd_rows_and_line_rules(spark):
-    plain = " ".join(f"word{k} and more, then." for k in range(30))
+    plain = " ".join(f"word{k} and{k} more, then{k}." for k in range(30))
     rows = [(1, None), (2, ""), (3, "a b c a b c"), (4, "x\n\nx\n \nx"), (5, "é# " * 60_000), (6, plain), (6, plain), (None, plain), (7, f"{plain}\nHome | News | About | Contact | Help\nread more of our privacy policy"), (8, "BUY!! " * 200 + plain)]
     got = same(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ls int"))
     by = {r.doc_id: r for r in got}
