@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, column, components, unfold, with_row
-from .shingles import mix, shingle_sets
+from .shingles import mix, shingle_sets, small_batches
 
 BITS = 18
 SLICES = 16
@@ -41,7 +41,7 @@ def _profile(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.int64)
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = shingle_sets(batch.column(1), words)
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
@@ -71,7 +71,7 @@ def ordered_keys(shingles: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def _prefixes(words: int, percent: int, rank: np.ndarray, fans: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small_batches(batches):
             keys, classes, places = [], [], []
             for shingles in shingle_sets(batch.column(0), words):
                 if not len(shingles) or (low := _digest(shingles)[0]) in seen:
@@ -100,7 +100,7 @@ def _suffix_bound(a: np.ndarray, b: np.ndarray, parts: int = 64) -> int:
 
 def _verify(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             a, b = (shingle_sets(batch.column(k), words) for k in ("ta", "tb"))
             good = np.zeros(len(a), bool)
             for k, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -114,7 +114,7 @@ def _verify(words: int, percent: int):
 
 def _texts_with_digest(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [_digest(s) for s in shingle_sets(batch.column(0), words)]
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in found], pa.int64()), pa.array([d[1] for d in found], pa.int64()), batch.column(0)], names=["d1", "d2", "text"])
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, column
+from .shingles import settle
 
 MARK = "<|startoftext|>"
 _encoders: dict[str, Encoder] = {}
@@ -116,6 +117,7 @@ def _pieces(path: str, size: int, end: int):
                     rows += [(key, a, min(size, n - a), zlib.crc32(ids[4 * a : 4 * (a + size)]), n) for a in range(0, n, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
         codec.old = {}  # a worker keeps one generation for its next task
+        settle()
 
     return run
 

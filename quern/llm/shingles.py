@@ -8,6 +8,9 @@ base.  A shingle's hash mixes the hashes of its words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +88,25 @@ def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
         low = high
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in batches of about so many bytes; afterwards the worker hands free memory back.
+
+    Workers wait for their next task with what they hold, beside a JVM that may need it.
+    """
+    for batch in batches:
+        step = max(1, int(len(batch) * most_bytes / max(batch.nbytes, 1)))
+        for low in range(0, len(batch), step):
+            yield batch.slice(low, step)
+    settle()
+
+
+def settle() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string())
     if texts.null_count:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, unfold, with_row
+from .shingles import settle
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:|\n]+")
@@ -94,7 +95,7 @@ class Scorer:
 
     def kind(self, word: str):
         if word not in self.memo:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 200_000:
                 self.memo.clear()
             found = self.forms.get(word)
             for n in self.lengths:
@@ -209,6 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(learn([x[1:] for x in found]))])], names=["model"])
+        del found
+        settle()
 
     found = rows.select("i", "t", "y").repartition(1).mapInArrow(run, "model string").first()  # no task without rows
     return json.loads(found[0]) if found else learn([])
@@ -223,6 +226,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         scorer = Scorer(shared.value)
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        settle()
 
     rows = with_row(docs, __text=text_col)
     return unfold(rows, docs.columns, score=run("__text"))
