@@ -24,6 +24,8 @@ from .common import Scratch, column
 from .shingles import settle
 
 MARK = "<|startoftext|>"
+#: ASCII characters that are neither letters, digits nor white space; without the apostrophe, which begins tokens of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,41 +38,62 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.mark = self.tokenizer.token_to_id(MARK)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.letters = None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:  # the same model without the steps that leave a lower-case word of letters as it is
+            self.letters = Tokenizer.from_file(path)
+            self.letters.normalizer = None
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Put the ids of all words into the young generation; plain words before one mark are learned without it."""
+        """Put the ids of all words into the young generation.
+
+        Words of letters, and those before a run of marks, are told apart by the
+        tokens that end a word; others by a special token between them.
+        """
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        young, old, new, tails = self.young, self.old, set(), []
-        for w in words:
-            if w in young:
-                continue
+        young, old, plain, odd, tails = self.young, self.old, set(), [], []
+        for w in words.difference(young):
             if w in old:
                 young[w] = old[w]
             elif "<|" in w or self.mark is None:
                 young[w] = self.ids(w)
-            elif w[-1] in ".,;:!?" and (base := w[:-1]).isalpha() and max(base) < "\u0250":
-                tails.append(w)
-                new.update(x for x in (base, w[-1]) if x not in young)
+            elif not self.letters or not (base := w.rstrip(MARKS)).isalpha() or not base.islower() or not (base.isascii() or max(base) < "\u0250"):
+                odd.append(w)
+            elif base == w:
+                plain.add(w)
+            else:
+                tails.append((w, base, w[len(base) :]))
+        plain.update(base for _, base, _ in tails if base not in young)
+        odd += {tail for _, _, tail in tails}.difference(young, odd)
+        self._learn(self.letters, list(plain), " ")
+        self._learn(self.tokenizer, odd, MARK)
+        young.update((w, young[base] + young[tail]) for w, base, tail in tails)
+
+    def _learn(self, tokenizer, words: list[str], between: str) -> None:
+        for k in range(0, len(words), 500):
+            some = words[k : k + 500]
+            found = np.array(tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            if between == MARK:
+                cuts = np.flatnonzero(found == self.mark)
+                lows, highs = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(found)]
             else:
-                new.add(w)
-        todo = list(new)
-        for k in range(0, len(todo), 1000):
-            some = todo[k : k + 1000]
-            found = np.array(self.tokenizer.encode_batch_fast([MARK.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at = [-1, *np.flatnonzero(found == self.mark).tolist(), len(found)]
+                highs = (np.flatnonzero(self.ends[found]) + 1).tolist()
+                lows = [0, *highs[:-1]]
             data = found.tobytes()
-            young.update((w, data[4 * a + 4 : 4 * b]) for w, a, b in zip(some, at[:-1], at[1:], strict=True))
-        young.update((w, young[w[:-1]] + young[w[-1]]) for w in tails)
+            self.young.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, lows, highs, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""

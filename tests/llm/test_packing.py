@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm.packing import encoder, pack, pattern_rows, shortest_pack_first
+from quern.llm.packing import Encoder, encoder, pack, pattern_rows, shortest_pack_first
 from quern.llm.queries import vocabulary
 
 ODD = "a Bé.,!'s\t\n\x1c\x85\xa0 Σσςİı́̌J漢字१2<|endoftext|>\U0001f600ǅﬁ"
@@ -21,6 +21,14 @@ def test_ids_are_the_tokenizers(texts):
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
+def test_words_with_marks_case_and_special_tokens() -> None:
+    texts = ["ªº abc,'s don't a'b x'' '' 's, ''s, A,B Éa, ÉCOLE, İx ǅ.", "a<|endoftext|>b x<| |> <|endoftext|> foo.<|startoftext|> \x1ca\x1d", "1a, a1. ... - ab-cd, é, ß ẞ ſ. end.... e\u0301, \u03a3 ,a", ""]
+    few = Encoder(vocabulary(), most=3)
+    for _ in range(2):
+        for t in texts:
+            assert few.encode([t]) == [plain(t)]
+
+
 def test_packs_hold_every_piece_once(histogram):
     packs = shortest_pack_first(dict(histogram), 64)
     left = dict.fromkeys(histogram, 0)
