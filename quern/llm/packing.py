@@ -47,8 +47,7 @@ class Encoder:
         self.letters = None
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if suffix:  # the same model without the steps that leave a lower-case word of letters as it is
-            self.letters = Tokenizer.from_file(path)
-            self.letters.normalizer = None
+            self.letters = Tokenizer(self.tokenizer.model)
             self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
