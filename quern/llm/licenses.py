@@ -73,7 +73,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rare: int = 8, agree:
     structs that the index finds with `agree` or more of the text's `rare`
     rarest licence words in line and the key phrase in place.  labels: both
     kinds, distinct, sorted, comma-joined (empty for none).  score: 1 for a
-    naming phrase, else the best notice's share of rarity found, else 0.  Null
+    naming phrase, else the best notice's share of rarity found (to 9 places),
+    else 0.  Null
     texts count as empty; an empty table gives an empty table; columns of the
     new names are replaced.
     """
@@ -106,7 +107,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rare: int = 8, agree:
         return out
 
     names = F.array(*[F.lit(n[0]) for n in NOTICES])
-    full = F.array(*[F.lit(sum(idf[w] for w in set(n[1].split()))) for n in NOTICES])
+    full = F.array(*[F.lit(sum(idf[w] for w in sorted(set(n[1].split())))) for n in NOTICES])
     rows = fixed(rows, seen=F.filter("lined", phrase_there))
     weigh = F.create_map(*[x for w in ranked for x in (F.lit(w), F.lit(idf[w]))])
     notice_words = F.array(*[F.array(*[F.lit(x) for x in sorted(set(n[1].split()))]) for n in NOTICES])
@@ -114,7 +115,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rare: int = 8, agree:
     def share(v: Column) -> Column:
         near = F.slice("w", F.greatest(v["i"] + 1, F.lit(1)), 40)
         got = F.aggregate(F.array_intersect(F.get(notice_words, v["k"]), near), F.lit(0.0), lambda s, x: s + F.element_at(weigh, x))
-        return F.least(got / F.get(full, v["k"]), F.lit(1.0))
+        return F.round(F.least(got / F.get(full, v["k"]), F.lit(1.0)), 9)
 
     starts_all = F.concat(*[F.col(f"b{k}") for k in range(len(base))])
     said = F.filter(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .hosts import filter_urls
 from .importance import importance
 from .jaccard import jaccard_components
@@ -84,17 +85,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_url_filter, op5_quality_rules, op6_source_mix, op7_license_scan, op8_importance, op9_media_columns, op10_packing)
 QUERIES = {f.__name__: f for f in (*OPERATORS, pipeline)}
-_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-
 ORACLE_SQL = {
-    "op1_line_dedup": f"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
-k AS (SELECT *, {_LOW.format(f"trim(line, {_SPACES})")} AS key FROM l),
-o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
-v AS (SELECT k.*, coalesce(k.doc_id <> o.owner, false) AS gone FROM k LEFT JOIN o USING (key))
-SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
-sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM v GROUP BY doc_id""",
+    "op1_line_dedup": oracles.LINE_DEDUP,
+    "op2_jaccard_join": oracles.JACCARD,
+    "op4_url_filter": oracles.url_filter(URL_RULES),
+    "op5_quality_rules": oracles.QUALITY,
+    "op7_license_scan": oracles.license_scan(),
 }
