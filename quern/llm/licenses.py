@@ -74,8 +74,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rare: int = 8, agree:
     rarest licence words in line and the key phrase in place.  labels: both
     kinds, distinct, sorted, comma-joined (empty for none).  score: 1 for a
     naming phrase, else the best notice's share of rarity found (to 9 places),
-    else 0.  Null
-    texts count as empty; an empty table gives an empty table; columns of the
+    else 0.  Null texts count as empty; an empty table gives an empty table; columns of the
     new names are replaced.
     """
     idf = rarity(docs, text_col)
