@@ -145,14 +145,20 @@ def _pieces(path: str, size: int, end: int):
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """(how many packs, their lengths) from counts of lengths: longest first, each to the emptiest packs it fits in."""
+    """(how many packs, their lengths) from counts of lengths: longest first, each to the emptiest packs it fits in.
+
+    Where none has room, new packs take as many pieces of the length as fit.
+    """
     open_packs: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         room = max((r for r in open_packs if open_packs[r]), default=0)
         while left:
             if room < length:
-                open_packs[size - length].append((left, [length]))
+                each = size // length
+                for count, held in ((left // each, each), (1, left % each)):
+                    if count and held:
+                        open_packs[size - held * length].append((count, [length] * held))
                 break
             while left and open_packs[room]:
                 count, pack = open_packs[room].pop()

@@ -40,6 +40,17 @@ def test_packs_hold_every_piece_once(histogram):
     assert sum(high - low for _, low, high, *_ in pattern_rows(packs)) == sum(histogram.values())
 
 
+def test_a_hot_length_fills_its_packs() -> None:
+    assert sum(count for count, _ in shortest_pack_first({300: 1000}, 2048)) == 167  # six fit in one
+    assert sum(count for count, _ in shortest_pack_first({1: 5000}, 2048)) == 3
+    spread = {k: 3 for k in range(1, 2049)}
+    for hot in (100, 200, 300, 500):
+        histogram = {**spread, hot: 3000}
+        packs = shortest_pack_first(histogram, 2048)
+        assert sum(k * n for k, n in histogram.items()) > 0.98 * 2048 * sum(count for count, _ in packs), hot
+        assert sum(high - low for _, low, high, *_ in pattern_rows(packs)) == sum(histogram.values())
+
+
 def check(rows, got, size):
     want = []
     for i, text in rows:
