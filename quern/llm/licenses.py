@@ -1,9 +1,9 @@
-"""Licence scans over a positional index of the rare words of licence notices.
+"""Licence scans over a positional index of the words of licence notices.
 
-Counts over all documents rank the notices' words by rarity.  A text's rarest
-licence words are looked up in the notices' postings; a notice is a candidate
-where several of them agree on its relative position, and its key phrase must
-then stand at that place.  Short phrases that name a licence are found by the
+Counts over all documents rank the notices' words by rarity.  All of a text's
+licence words are looked up in the notices' postings, so notices do not take
+each other's votes; a notice is a candidate where several of them agree on its
+relative position, and its key phrase must then stand at that place.  Short phrases that name a licence are found by the
 same consecutive match.
 """
 
@@ -64,14 +64,14 @@ def rarity(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     return {w: math.log((n + 1) / (held.get(w, 0) + 1)) + 1 for w in postings()}
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", rare: int = 8, agree: int = 3) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", agree: int = 3) -> DataFrame:
     """The input's columns with n_words, n_base, first_word, last_word, base_labels, labels, score and notices.
 
     Words are runs of digits, a-z (A-Z lower-cased) and characters beyond ASCII.
     n_base: places of the naming phrases; first_word and last_word: their
     smallest and largest start, null without one.  notices: (label, start)
-    structs that the index finds with `agree` or more of the text's `rare`
-    rarest licence words in line and the key phrase in place.  labels: both
+    structs that the index finds with `agree` or more of the text's licence
+    words in line and the key phrase in place.  labels: both
     kinds, distinct, sorted, comma-joined (empty for none).  score: 1 for a
     naming phrase, else the best notice's share of rarity found (to 9 places),
     else 0.  Null texts count as empty; an empty table gives an empty table; columns of the
@@ -87,8 +87,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rare: int = 8, agree:
     base = [F.when(F.col("norm").contains(p), starts(F.col("w"), p)).otherwise(none) for p in PHRASES]
     ranked = sorted(idf, key=lambda w: (-idf[w], w))
     order = F.array(*[F.lit(w) for w in ranked])
-    rows = fixed(rows, **{f"b{k}": b for k, b in enumerate(base)}, top=F.slice(F.array_intersect(order, F.col("w")), 1, rare))
-    # the places of the text's rarest licence words, as (notice, start of the notice) votes
+    rows = fixed(rows, **{f"b{k}": b for k, b in enumerate(base)}, top=F.array_intersect(order, F.col("w")))
+    # the places of the text's licence words, as (notice, start of the notice) votes
     kind = "array<struct<k:int,i:int>>"
     table = F.create_map(*[x for w in ranked for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for k, i in index[w]]))])
     places = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: F.array_contains("top", p["x"]))

@@ -1,4 +1,5 @@
 import re
+from itertools import combinations
 
 from quern.llm.licenses import NOTICES, PHRASES, scan_licenses
 from quern.llm.queries import op7_license_scan
@@ -35,3 +36,21 @@ def test_notices_and_odd_rows(spark):
         assert [tuple(n) for n in by[k].notices] == [(label, 5)] and by[k].score > 0.99, label
     assert by[52].labels == "cc-by,mit" and by[54].labels == "" and by[55].labels == "" and by[50].score == 0
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_several_notices_in_a_text(spark):
+    sets = [*combinations(range(len(NOTICES)), 2), tuple(range(len(NOTICES)))]
+    rows = [(k, " filler. ".join(NOTICES[i][1] for i in held)) for k, held in enumerate(sets)]
+    # a long text with the words of all the other notices, each once and out of order, and one notice in the middle
+    for k, (_, text, _) in enumerate(NOTICES):
+        others = " ".join(sorted({w for _, t, _ in NOTICES for w in t.split()} - set(text.split()), reverse=True))
+        sets.append((k,))
+        rows.append((len(rows), f"{others} {'filler ' * 3000} {text} {'filler ' * 3000} {others}"))
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = []
+        words = r.text.replace(".", "").split()
+        for label, text, _ in (NOTICES[i] for i in sets[r.doc_id]):
+            parts = text.split()
+            want += [(label, i) for i in range(len(words)) if words[i : i + len(parts)] == parts]
+        assert sorted(tuple(n) for n in r.notices) == sorted(want), r.doc_id
+        assert r.labels == ",".join(sorted({label for label, _ in want})) and r.score > 0.99
