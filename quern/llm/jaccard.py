@@ -37,19 +37,19 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(low), int(high)
 
 
-def _profile(words: int):
+def _profile(words: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.int64)
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([*[(c, pa.int64()) for c in ("id", "n", "d1", "d2", *carried)], ("slice", pa.int32()), ("counts", pa.binary())])
         for batch in small_batches(batches):
             sets = shingle_sets(batch.column(1), words)
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
             digests = [_digest(s) for s in sets]
             none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *batch.columns[2:], *none], schema=schema)
         parts = np.split(counts, SLICES)
-        gone = [pa.nulls(SLICES, pa.int64())] * 4
+        gone = [pa.nulls(SLICES, pa.int64())] * (4 + len(carried))
         yield pa.RecordBatch.from_arrays([*gone, pa.array(range(SLICES), pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())], schema=schema)
 
     return run
@@ -138,10 +138,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeat: rows are compared by text, and the smallest id that is not null
     names a component.  An empty table gives an empty table.
     """
+    out = _grouped(docs, id_col, text_col, words, percent)
+    name = F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0"))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), name.alias("class"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, **carried: Column) -> DataFrame:
+    """id, n, d1, d2, the `carried` longs, links, component and label (the component's own key, whatever its ids) of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
-    profile = scratch.put(rows.mapInArrow(_profile(words), "id long, n long, d1 long, d2 long, slice int, counts binary"), "profile")
+    more = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"), *[c.alias(k) for k, c in carried.items()])
+    kind = "".join(f"{k} long, " for k in ("id", "n", "d1", "d2", *carried))
+    profile = scratch.put(more.mapInArrow(_profile(words, list(carried)), f"{kind}slice int, counts binary"), "profile")
     total = np.zeros(1 << BITS, np.int64)
     for at, part in profile.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_summed, "slice int, counts binary").collect():
         size = (1 << BITS) // SLICES
@@ -151,7 +163,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread = 4 * int(np.median(total)) + SALT_ROWS
     fans = np.ones(1 << BITS, np.uint64)
     fans[rank.astype(np.int64)] = (total // spread + 1).astype(np.uint64)
-    members = profile.where("slice is null").select("id", "n", "d1", "d2")
+    members = profile.where("slice is null").select("id", "n", "d1", "d2", *carried)
 
     prefixes = rows.select("text").mapInArrow(_prefixes(words, percent, rank, fans), "key long, salt int, salted boolean, cls long, place long")
     met = Window.partitionBy("key", "salt")
@@ -212,25 +224,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = members.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("least")).join(nodes, ["d1", "d2"], "left")
     classes = classes.withColumn("label", F.coalesce("label", F.struct("d1", "d2")))
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
-    classes = scratch.put(classes.join(least, "label").select("d1", "d2", "links", "component"), "classes")
+    classes = scratch.put(classes.join(least, "label").select("d1", "d2", "links", "component", "label"), "classes")
     scratch.drop("index", "first", "texts", "links-1", "links-2")
-    out = members.join(classes, ["d1", "d2"], "left")
-    name = F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0"))
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), name.alias("class"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
-    )
+    return members.join(classes, ["d1", "d2"], "left")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The input's rows, one of each group of near copies: the row of the smallest id.
 
     Rows without words all stay; of rows alike in id and text one stays, as of
-    other copies.  A group whose ids are all null keeps one row.
+    other copies.  Rows that share an id, or have none, are told apart by their
+    texts; a group whose ids are all null keeps one row.
     """
-    found = jaccard_components(docs, id_col, text_col, words, percent).where("n_shingles > 0").select(column(id_col).alias("i"), F.col("class").alias("c"), F.col("component_id").alias("o"))
-    chosen = found.where(F.col("i").eqNullSafe(F.col("o"))).groupBy("o").agg(F.min(F.struct("i", "c")).alias("m")).select("m.*", "o")
-    rows = with_row(docs, __id=id_col, __text=text_col).withColumn("__n", F.xxhash64("__text"))
+    def key(text: Column) -> dict[str, Column]:
+        return {"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit(1), text)}
+
+    found = _grouped(docs, id_col, text_col, words, percent, **key(column(text_col))).where("n > 0")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__t1", "__t2"))
+    chosen = found.groupBy("label").agg(least.alias("m")).select(F.col("m.id").alias("i"), F.col("m.__t1").alias("t1"), F.col("m.__t2").alias("t2"))
+    rows = with_row(docs, __id=id_col, __text=text_col).withColumns(key(F.col("__text")))
     bare = F.coalesce(F.btrim("__text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
-    stay = rows.where(~bare).join(chosen.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("i")), "left_semi").dropDuplicates(["__id"])
+    met = F.col("__id").cast("long").eqNullSafe(F.col("i")) & (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2"))
+    stay = rows.where(~bare).join(chosen.hint("shuffle_hash"), met, "left_semi").dropDuplicates(["__id", "__t1", "__t2"])
     return unfold(rows.where(bare), docs.columns).unionByName(unfold(stay, docs.columns))

@@ -81,3 +81,15 @@ def test_keep_one_each(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(3, text, 1), (2, text, 2), (2, text, 2), (5, "", 3), (6, None, 4), (7, "else " * 9, 5)], "doc_id long, text string, key int")
     assert sorted(r.doc_id for r in keep_one_each(docs).collect()) == [2, 5, 6, 7]
+
+
+def test_keep_one_each_of_null_and_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = f"{a} more"  # a near copy of a
+    rows = [(None, a), (None, near), (None, b), (1, c), (1, d), (1, d), (2, c), (None, d), (4, "e f"), (4, "e g"), (None, ""), (None, " ")]
+    got = [tuple(r) for r in keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    kept_a = [r for r in got if r[1] in (a, near)]
+    assert len(kept_a) == 1 and kept_a[0][0] is None
+    want = [(None, b), (1, c), (1, d), (4, "e f"), (4, "e g"), (None, ""), (None, " ")]
+    assert sorted((r for r in got if r not in kept_a), key=str) == sorted(want, key=str)
+    assert keep_one_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
