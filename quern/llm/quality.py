@@ -42,6 +42,23 @@ def count_of(text: Column, marks: str) -> Column:
     return F.length(text) - F.length(F.translate(text, marks, ""))
 
 
+def repetitive(found: Column, window: int = 64) -> Column:
+    """Whether a line's words are the same few over and over.
+
+    A line of up to `window` words is so if at most a third of them are distinct.
+    Text holds ever fewer new words as it goes on, so a longer line is judged by
+    windows of that length (the same bound on the sum of their distinct words),
+    or by whether repeated 3-word windows cover two thirds of it.
+    """
+    n = F.size(found)
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / window).cast("int"))
+    parts = F.transform(starts, lambda k: F.size(F.array_distinct(F.slice(found, k * window + 1, window))))
+    held = F.aggregate(parts, F.lit(0), lambda s, x: s + x)
+    again = F.get(F.transform(F.array(sorted_windows(found)), covered), 0)  # sorted once, not for each window
+    long = (held * 3 <= n) | (3 * again >= 2 * n)
+    return F.when(n <= window, F.size(F.array_distinct(found)) * 3 <= n).otherwise(long)
+
+
 def line_facts(line: Column) -> Column:
     """What the line rules look at, computed once a line."""
     return F.struct(line.alias("line"), words(line).alias("w"), F.lower(line).alias("low"), F.length(line).alias("n"))
@@ -56,7 +73,7 @@ def line_failed(x: Column, least_marks: int = 4, chars_a_mark: int = 16, least_u
         out = out | ((count >= least_marks) & (chars_a_mark * count >= x["n"]))
     for phrase in BOILERPLATE:
         out = out | x["low"].contains(phrase)
-    return out | ((n >= 8) & (F.size(F.array_distinct(x["w"])) * 3 <= n))
+    return out | ((n >= 8) & (F.size(F.array_distinct(x["w"])) * 3 <= n) & repetitive(x["w"]))
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", least_words: int = 50, most_repeats: int = 50, most_lost: int = 50) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -42,3 +43,16 @@ def test_odd_rows_and_line_rules(spark):
     assert by[6].kept and by[None].kept and by[7].kept and not by[8].kept
     assert by[7].n_failed_lines == 2 and by[7].cleaned == plain and by[1].cleaned == ""
     assert clean_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_lines_are_not_judged_by_their_length(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(1500)]
+    prose = " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(1500)], k=6000)) + "."
+    passage = " ".join(f"p{k}" for k in range(90)) + ". "
+    rows = [(1, prose), (2, "buy it now. " * 500), (3, passage * 40), (4, f"{prose}\n{passage * 10}")]
+    got = {r.doc_id: r for r in clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(prose.split())) * 3 <= 6000 and not got[1].base_failed
+    assert got[1].kept and got[1].cleaned == prose and got[1].n_failed_lines == 0
+    assert got[2].n_failed_lines == 1 and got[3].n_failed_lines == 1
+    assert got[4].n_failed_lines == 1 and got[4].cleaned == prose and got[4].kept
