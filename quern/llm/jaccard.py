@@ -9,7 +9,9 @@ Length, positional and suffix filters prune what meets there.
 A bucket of the prefix index first offers each member its pivot and a neighbour
 only, which joins groups of copies in a number of pairs linear in their size.
 All other pairs of a bucket are then met only if its members are not yet in one
-component; each pair is verified once, on its whole texts.
+component; each pair is verified once, on its whole texts.  Only texts that
+stand in a candidate pair are moved: a filter of bits tells most others in the
+pass that reads them, and a join the rest.
 """
 
 from __future__ import annotations
@@ -30,6 +32,11 @@ BITS = 18
 SLICES = 16
 #: Rows of one prefix key that a task takes; keys of larger hash buckets are salted.
 SALT_ROWS = 200_000
+#: Rows of a class of equal texts from which its row is broadcast; at most MOST_HOT classes are.
+HOT_ROWS, MOST_HOT = 1_000, 10_000
+#: The filter of wanted texts: bits for each, and the powers of two between which its size stays (16 MB at most).
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 27
+NO_ID = np.int64(-(2**62) - 1)
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -70,14 +77,14 @@ def ordered_keys(shingles: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _prefixes(words: int, percent: int, rank: np.ndarray, fans: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in small_batches(batches):
             keys, classes, places = [], [], []
             for shingles in shingle_sets(batch.column(0), words):
-                if not len(shingles) or (low := _digest(shingles)[0]) in seen:
+                if not len(shingles) or (digest := _digest(shingles)) in seen:
                     continue
-                seen.add(low)
-                n = len(shingles)
+                seen.add(digest)
+                n, low = len(shingles), digest[0]
                 first = ordered_keys(shingles, rank)[: n + (-n * percent) // 100 + 1]
                 keys.append(first)
                 classes.append(np.full(len(first), low, np.int64))
@@ -112,11 +119,53 @@ def _verify(words: int, percent: int):
     return run
 
 
-def _texts_with_digest(words: int):
+def _places(d1: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+    """Where in a filter of 2**bits bits a class and the id of its representative stand."""
+    return (mix(d1.view(np.uint64) ^ mix(ids.view(np.uint64))) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _marked(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        size = 1 << min(bits, 20)
+        ids = table.column("rep").fill_null(int(NO_ID)).to_numpy().astype(np.int64)
+        held = np.zeros(size, bool)
+        held[_places(table.column("d1").to_numpy().astype(np.int64), ids, bits) % size] = True
+        return pa.table({"slice": table.column("slice").slice(0, 1), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+    return run
+
+
+def _place_slice(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("rep").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = _places(batch.column("d1").to_numpy(zero_copy_only=False).astype(np.int64), ids, bits) >> min(bits, 20)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column("d1"), batch.column("rep")], names=["slice", "d1", "rep"])
+
+    return run
+
+
+def _filter(ends: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """Bits that are set for all of ends (d1, rep), and the logarithm of how many there are; its size is bounded, more ends only make it less sharp."""
+    bits = min(max(FILTER_LEAST, (FILTER_BITS * count).bit_length()), FILTER_MOST)
+    out = np.zeros(1 << bits, bool)
+    dealt = ends.select("d1", "rep").mapInArrow(_place_slice(bits), "slice int, d1 long, rep long").distinct()
+    for at, held in dealt.groupBy("slice").applyInArrow(_marked(bits), "slice int, held binary").collect():
+        size = 1 << min(bits, 20)
+        out[at * size : (at + 1) * size] = np.unpackbits(np.frombuffer(bytes(held), np.uint8)).astype(bool)
+    return np.packbits(out), bits
+
+
+def _wanted_texts(words: int, shared, bits: int):
+    """Digests and texts of the rows whose class and id are in the filter, once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = np.unpackbits(shared.value).astype(bool), set()
         for batch in small_batches(batches):
-            found = [_digest(s) for s in shingle_sets(batch.column(0), words)]
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in found], pa.int64()), pa.array([d[1] for d in found], pa.int64()), batch.column(0)], names=["d1", "d2", "text"])
+            found = np.array([_digest(s) for s in shingle_sets(batch.column(1), words)], np.int64).reshape(-1, 2)
+            ids = batch.column(0).cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
+            take = np.flatnonzero(held[_places(np.ascontiguousarray(found[:, 0]), ids, bits)])
+            take = [k for k in take.tolist() if not ((d := (int(found[k, 0]), int(found[k, 1]))) in seen or seen.add(d))]
+            yield pa.RecordBatch.from_arrays([pa.array(found[take, 0]), pa.array(found[take, 1]), batch.column(1).take(pa.array(take, pa.int64()))], names=["d1", "d2", "text"])
 
     return run
 
@@ -190,23 +239,29 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     offered = pairs(index, F.col("near")).union(pairs(index, F.col("pivot"))).union(pairs(salted, F.col("top")))
     first = scratch.put(offered.distinct(), "first")
 
-    # the texts of all classes that share a prefix key with another one
-    wanted = index.select(F.col("cls").alias("d1")).distinct()
-    reps = members.join(wanted, "d1", "left_semi").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    named = rows.join(reps.select("rep").distinct().hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    found = named.select("text").mapInArrow(_texts_with_digest(words), "d1 long, d2 long, text string").join(wanted, "d1", "left_semi")
-    texts = scratch.put(found.dropDuplicates(["d1", "d2"]), "texts")
+    reps = scratch.put(members.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "reps")
 
     def verified(candidates: DataFrame, name: str) -> DataFrame:
+        """The links among candidates (a, b): the texts of their ends are fetched and each pair is judged once."""
+        ends = candidates.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
+        ends = scratch.put(reps.join(ends, "d1", "left_semi").select("d1", "d2", "rep"), f"ends-{name}")
+        bitmap, bits = _filter(ends, ends.count())
+        found = rows.select("id", "text").mapInArrow(_wanted_texts(words, spark.sparkContext.broadcast(bitmap), bits), "d1 long, d2 long, text string")
+        texts = found.join(ends.select("d1", "d2"), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+        texts = scratch.put(texts, f"texts-{name}")
+
         def end(c: str) -> DataFrame:
             return texts.select(F.col("d1").alias(f"{c}1"), F.struct("d1", "d2").alias(c), F.col("text").alias(f"t{c}"))
 
         ready = candidates.withColumnsRenamed({"a": "a1", "b": "b1"}).join(end("a"), "a1").join(end("b"), "b1").select("a", "b", "ta", "tb")
         kind = "struct<d1:bigint,d2:bigint>"
-        return scratch.put(ready.mapInArrow(_verify(words, percent), f"a {kind}, b {kind}"), name)
+        out = scratch.put(ready.mapInArrow(_verify(words, percent), f"a {kind}, b {kind}"), name)
+        scratch.drop(f"ends-{name}", f"texts-{name}")
+        return out
 
     links = verified(first, "links-1")
-    known = components(links, scratch, "cc-1").select(F.col("node.d1").alias("cls"), F.col("label.d1").alias("of"))
+    labels = components(links, scratch, "cc-1")
+    known = labels.select(F.col("node.d1").alias("cls"), F.col("label.d1").alias("of"))
     placed = index.select("key", "cls", "place").distinct().join(known, "cls", "left").withColumn("of", F.coalesce("of", "cls"))
     placed = scratch.put(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("key")
@@ -214,19 +269,30 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     a, b = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "place", "of")]) for s in "ab")
     near = _close(*split(F.col("place_a")), *split(F.col("place_b")), percent)
     rest = a.join(b, (a["key"] == b["key"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("of_a") != F.col("of_b")) & near)
-    rest = rest.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(verified(rest, "links-2"))
+    rest = scratch.put(rest.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "rest")
     scratch.drop("placed")
-    labels = components(links, scratch, "cc-2")
+    if not rest.isEmpty() and not (more_links := verified(rest, "links-2")).isEmpty():
+        links = links.union(more_links)
+        labels = components(links, scratch, "cc-2")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     nodes = labels.join(degree, "node", "left").select("node.*", "label", F.col("count").alias("links"))
-    classes = members.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("least")).join(nodes, ["d1", "d2"], "left")
+    classes = reps.withColumnRenamed("rep", "least").join(nodes, ["d1", "d2"], "left")
     classes = classes.withColumn("label", F.coalesce("label", F.struct("d1", "d2")))
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
-    classes = scratch.put(classes.join(least, "label").select("d1", "d2", "links", "component", "label"), "classes")
-    scratch.drop("index", "first", "texts", "links-1", "links-2")
-    return members.join(classes, ["d1", "d2"], "left")
+    classes = scratch.put(classes.join(least, "label").select("d1", "d2", "rows", "links", "component", "label"), "classes")
+    scratch.drop("index", "first", "rest", "reps", "links-1", "links-2")
+    return _named(members, classes)
+
+
+def _named(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members with their class's columns; classes of many rows are so few that they are broadcast, so no task takes all rows of one."""
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    least = max(HOT_ROWS, total // MOST_HOT)  # at most total / least classes have so many rows
+    hot, cold = (classes.where(c).drop("rows") for c in (f"rows >= {least}", f"rows < {least}"))
+    at = ["d1", "d2"]
+    rest = members.join(F.broadcast(hot.select(*at)), at, "left_anti").join(cold, at, "left")
+    return members.join(F.broadcast(hot), at).unionByName(rest)
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
