@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,9 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -44,8 +47,13 @@ class Scratch:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z become a-z; every other character stays."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z become a-z; every other character stays.
+
+    lower() does that for ASCII, and for texts of which it changes nothing else;
+    translate(), which takes a map's lookup for each character, does the rest.
+    """
+    bare = F.regexp_replace(text, "[A-Z]+", "")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(F.lower(bare) == bare, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def word_count(text: Column) -> Column:
@@ -82,6 +90,24 @@ def fixed(df: DataFrame, **new: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in new.items()]))))
 
 
+#: Rows of one key from which meet() broadcasts that key's row; at most MOST_HOT keys have so many.
+HOT_ROWS, MOST_HOT = 1_000, 10_000
+
+
+def meet(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has one row for each key and in `count` how many of rows hold it; `count` is dropped.
+
+    Keys of many rows are so few (at most MOST_HOT, whatever the input) that
+    their rows are broadcast; the others are shuffled.  No task gets all rows of
+    a hot key.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    least = max(HOT_ROWS, total // MOST_HOT)
+    hot, cold = (table.where(c).drop(count) for c in (F.col(count) >= least, F.col(count) < least))
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """node and label (the smallest node it is joined with) for each end of links (a, b).
 

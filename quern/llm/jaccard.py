@@ -1,7 +1,7 @@
 """N-gram Jaccard join by rare-first prefix filtering.
 
-Shingles get a global order, rare first: counts of 2**18 hash buckets over all
-documents rank the buckets, and a shingle's key is its bucket's rank followed by
+Shingles get a global order, rare first: counts of hash buckets over all
+documents (2**18 to 2**22 buckets, eight for each document between) rank the buckets, and a shingle's key is its bucket's rank followed by
 the rest of its hash, a bijection of the hash.  Texts of similarity t or more
 share one of their first n - ceil(t n) + 1 keys, so only those are shuffled.
 Length, positional and suffix filters prune what meets there.
@@ -25,15 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, column, components, unfold, with_row
+from .common import Scratch, column, components, meet, unfold, with_row
 from .shingles import mix, shingle_sets, small_batches
 
-BITS = 18
+LEAST_BITS, MOST_BITS = 18, 22
 SLICES = 16
 #: Rows of one prefix key that a task takes; keys of larger hash buckets are salted.
 SALT_ROWS = 200_000
-#: Rows of a class of equal texts from which its row is broadcast; at most MOST_HOT classes are.
-HOT_ROWS, MOST_HOT = 1_000, 10_000
 #: The filter of wanted texts: bits for each, and the powers of two between which its size stays (16 MB at most).
 FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 27
 NO_ID = np.int64(-(2**62) - 1)
@@ -44,40 +42,43 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(low), int(high)
 
 
-def _profile(words: int, carried: list[str]):
+def _profile(words: int, bits: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         schema = pa.schema([*[(c, pa.int64()) for c in ("id", "n", "d1", "d2", *carried)], ("slice", pa.int32()), ("counts", pa.binary())])
         for batch in small_batches(batches):
             sets = shingle_sets(batch.column(1), words)
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+            for shingles in sets:  # distinct, but two may share a bucket
+                np.add.at(counts, (shingles >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
             digests = [_digest(s) for s in sets]
             none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *batch.columns[2:], *none], schema=schema)
         parts = np.split(counts, SLICES)
         gone = [pa.nulls(SLICES, pa.int64())] * (4 + len(carried))
-        yield pa.RecordBatch.from_arrays([*gone, pa.array(range(SLICES), pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*gone, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
 
     return run
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros((1 << BITS) // SLICES, np.int64)
+    total = 0
     for x in table.column("counts"):
-        total += np.frombuffer(x.as_py(), np.uint32)
+        total = total + np.frombuffer(x.as_py(), np.uint32).astype(np.int64)
     return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def ordered_keys(shingles: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The keys of a text's shingles in the global order."""
-    rest = np.uint64(64 - BITS)
-    return np.sort((rank[(shingles >> rest).astype(np.int64)] << rest) | (shingles & np.uint64((1 << (64 - BITS)) - 1)))
+    bits = len(rank).bit_length() - 1
+    rest = np.uint64(64 - bits)
+    return np.sort((rank[(shingles >> rest).astype(np.int64)].astype(np.uint64) << rest) | (shingles & np.uint64((1 << (64 - bits)) - 1)))
 
 
-def _prefixes(words: int, percent: int, rank: np.ndarray, fans: np.ndarray):
+def _prefixes(words: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        rank, fans = shared.value
+        rest = np.uint64(64 - (len(rank).bit_length() - 1))
         for batch in small_batches(batches):
             keys, classes, places = [], [], []
             for shingles in shingle_sets(batch.column(0), words):
@@ -91,7 +92,7 @@ def _prefixes(words: int, percent: int, rank: np.ndarray, fans: np.ndarray):
                 places.append((np.int64(n) << np.int64(32)) + np.arange(len(first), dtype=np.int64))
             if keys:
                 keys, classes = np.concatenate(keys), np.concatenate(classes)
-                fan = fans[(keys >> np.uint64(64 - BITS)).astype(np.int64)]
+                fan = fans[(keys >> rest).astype(np.int64)].astype(np.uint64)
                 salt = (mix(classes.view(np.uint64)) % fan).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt), pa.array((fan > 1)), pa.array(classes), pa.array(np.concatenate(places))], names=["key", "salt", "salted", "cls", "place"])
 
@@ -119,17 +120,16 @@ def _verify(words: int, percent: int):
     return run
 
 
-def _places(d1: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    """Where in a filter of 2**bits bits a class and the id of its representative stand."""
-    return (mix(d1.view(np.uint64) ^ mix(ids.view(np.uint64))) >> np.uint64(64 - bits)).astype(np.int64)
+def _places(ids: pa.Array, bits: int) -> np.ndarray:
+    """Where in a filter of 2**bits bits ids stand."""
+    ids = ids.cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _marked(bits: int):
     def run(table: pa.Table) -> pa.Table:
-        size = 1 << min(bits, 20)
-        ids = table.column("rep").fill_null(int(NO_ID)).to_numpy().astype(np.int64)
-        held = np.zeros(size, bool)
-        held[_places(table.column("d1").to_numpy().astype(np.int64), ids, bits) % size] = True
+        held = np.zeros(1 << min(bits, 20), bool)
+        held[_places(table.column("rep").combine_chunks(), bits) % len(held)] = True
         return pa.table({"slice": table.column("slice").slice(0, 1), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
 
     return run
@@ -138,18 +138,17 @@ def _marked(bits: int):
 def _place_slice(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("rep").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = _places(batch.column("d1").to_numpy(zero_copy_only=False).astype(np.int64), ids, bits) >> min(bits, 20)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column("d1"), batch.column("rep")], names=["slice", "d1", "rep"])
+            at = _places(batch.column(0), bits) >> min(bits, 20)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(0)], names=["slice", "rep"])
 
     return run
 
 
 def _filter(ends: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """Bits that are set for all of ends (d1, rep), and the logarithm of how many there are; its size is bounded, more ends only make it less sharp."""
+    """Bits that are set for all ids rep of ends, and the logarithm of how many there are; its size is bounded, more ends only make it less sharp."""
     bits = min(max(FILTER_LEAST, (FILTER_BITS * count).bit_length()), FILTER_MOST)
     out = np.zeros(1 << bits, bool)
-    dealt = ends.select("d1", "rep").mapInArrow(_place_slice(bits), "slice int, d1 long, rep long").distinct()
+    dealt = ends.select("rep").mapInArrow(_place_slice(bits), "slice int, rep long").distinct()
     for at, held in dealt.groupBy("slice").applyInArrow(_marked(bits), "slice int, held binary").collect():
         size = 1 << min(bits, 20)
         out[at * size : (at + 1) * size] = np.unpackbits(np.frombuffer(bytes(held), np.uint8)).astype(bool)
@@ -157,15 +156,14 @@ def _filter(ends: DataFrame, count: int) -> tuple[np.ndarray, int]:
 
 
 def _wanted_texts(words: int, shared, bits: int):
-    """Digests and texts of the rows whose class and id are in the filter, once a task."""
+    """Digests and texts of the rows whose ids are in the filter, each text once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = np.unpackbits(shared.value).astype(bool), set()
         for batch in small_batches(batches):
-            found = np.array([_digest(s) for s in shingle_sets(batch.column(1), words)], np.int64).reshape(-1, 2)
-            ids = batch.column(0).cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-            take = np.flatnonzero(held[_places(np.ascontiguousarray(found[:, 0]), ids, bits)])
-            take = [k for k in take.tolist() if not ((d := (int(found[k, 0]), int(found[k, 1]))) in seen or seen.add(d))]
-            yield pa.RecordBatch.from_arrays([pa.array(found[take, 0]), pa.array(found[take, 1]), batch.column(1).take(pa.array(take, pa.int64()))], names=["d1", "d2", "text"])
+            texts = batch.column(1).take(pa.array(np.flatnonzero(held[_places(batch.column(0), bits)])))
+            found = [_digest(s) for s in shingle_sets(texts, words)]
+            take = [k for k, d in enumerate(found) if not (d in seen or seen.add(d))]
+            yield pa.RecordBatch.from_arrays([*[pa.array([found[k][c] for k in take], pa.int64()) for c in (0, 1)], texts.take(pa.array(take, pa.int64()))], names=["d1", "d2", "text"])
 
     return run
 
@@ -202,19 +200,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     more = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"), *[c.alias(k) for k, c in carried.items()])
     kind = "".join(f"{k} long, " for k in ("id", "n", "d1", "d2", *carried))
-    profile = scratch.put(more.mapInArrow(_profile(words, list(carried)), f"{kind}slice int, counts binary"), "profile")
-    total = np.zeros(1 << BITS, np.int64)
+    bits = min(max(LEAST_BITS, docs.count().bit_length() + 3), MOST_BITS)
+    profile = scratch.put(more.mapInArrow(_profile(words, bits, list(carried)), f"{kind}slice int, counts binary"), "profile")
+    total, size = np.zeros(1 << bits, np.int64), (1 << bits) // SLICES
     for at, part in profile.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_summed, "slice int, counts binary").collect():
-        size = (1 << BITS) // SLICES
         total[at * size : (at + 1) * size] = np.frombuffer(bytes(part), np.int64)
-    rank = np.empty(1 << BITS, np.uint64)
-    rank[np.argsort(total, kind="stable")] = np.arange(1 << BITS, dtype=np.uint64)
+    rank = np.empty(1 << bits, np.uint32)
+    rank[np.argsort(total, kind="stable")] = np.arange(1 << bits, dtype=np.uint32)
     spread = 4 * int(np.median(total)) + SALT_ROWS
-    fans = np.ones(1 << BITS, np.uint64)
-    fans[rank.astype(np.int64)] = (total // spread + 1).astype(np.uint64)
+    fans = np.ones(1 << bits, np.uint32)
+    fans[rank.astype(np.int64)] = np.minimum(total // spread + 1, 1 << 20).astype(np.uint32)
     members = profile.where("slice is null").select("id", "n", "d1", "d2", *carried)
 
-    prefixes = rows.select("text").mapInArrow(_prefixes(words, percent, rank, fans), "key long, salt int, salted boolean, cls long, place long")
+    prefixes = rows.select("text").mapInArrow(_prefixes(words, percent, spark.sparkContext.broadcast((rank, fans))), "key long, salt int, salted boolean, cls long, place long")
     met = Window.partitionBy("key", "salt")
     held = prefixes.withColumns({"low": F.min("cls").over(met), "high": F.max("cls").over(met), "size": F.count("*").over(met)})
     held = held.where((F.col("low") != F.col("high")) | F.col("salted")).drop("low", "high")
@@ -282,17 +280,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
     classes = scratch.put(classes.join(least, "label").select("d1", "d2", "rows", "links", "component", "label"), "classes")
     scratch.drop("index", "first", "rest", "reps", "links-1", "links-2")
-    return _named(members, classes)
-
-
-def _named(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """members with their class's columns; classes of many rows are so few that they are broadcast, so no task takes all rows of one."""
-    total = classes.agg(F.sum("rows")).first()[0] or 0
-    least = max(HOT_ROWS, total // MOST_HOT)  # at most total / least classes have so many rows
-    hot, cold = (classes.where(c).drop("rows") for c in (f"rows >= {least}", f"rows < {least}"))
-    at = ["d1", "d2"]
-    rest = members.join(F.broadcast(hot.select(*at)), at, "left_anti").join(cold, at, "left")
-    return members.join(F.broadcast(hot), at).unionByName(rest)
+    return meet(members, classes, ["d1", "d2"], "rows", "left")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
