@@ -3,8 +3,8 @@
 Counts over all documents rank the notices' words by rarity.  All of a text's
 licence words are looked up in the notices' postings, so notices do not take
 each other's votes; a notice is a candidate where several of them agree on its
-relative position, and its key phrase must then stand at that place.  Short phrases that name a licence are found by the
-same consecutive match.
+relative position, and its key phrase must then stand at that place.  Short
+phrases that name a licence are found by the same consecutive match.
 """
 
 from __future__ import annotations

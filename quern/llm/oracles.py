@@ -60,11 +60,16 @@ SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN distrust > trust TH
 QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-x AS (SELECT doc_id, line, regexp_extract_all(line, {_WORD}) AS w, lower(line) AS low FROM l),
+x AS (SELECT row_number() OVER () AS r, doc_id, line, regexp_extract_all(line, {_WORD}) AS w, lower(line) AS low FROM l),
+lg AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM x WHERE len(w) > 64),
+lc AS (SELECT r, count(DISTINCT p) AS covered FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i FROM lg QUALIFY count(*) OVER (PARTITION BY r, g) > 1)) GROUP BY r),
+y AS (SELECT x.*, coalesce(covered, 0) AS covered FROM x LEFT JOIN lc USING (r)),
 bad AS (SELECT doc_id, line, len(w) AS n, len(w) >= 12 AND NOT regexp_matches(line, '[.!?:;,…。]')
 {"".join(f" OR (length(line) - length(translate(line, '{m}', '')) >= 4 AND 16 * (length(line) - length(translate(line, '{m}', ''))) >= length(line))" for m in MARKS.values())}
 {"".join(f" OR contains(low, '{b}')" for b in BOILERPLATE)}
- OR len(w) >= 8 AND len(list_distinct(w)) * 3 <= len(w) AS failed FROM x WHERE len(w) > 0),
+ OR len(w) >= 8 AND len(list_distinct(w)) * 3 <= len(w) AND (len(w) <= 64
+  OR 3 * list_sum(list_transform(range((len(w) - 1) // 64 + 1), lambda k: len(list_distinct(w[64 * k + 1:64 * k + 64])))) <= len(w)
+  OR 3 * covered >= 2 * len(w)) AS failed FROM y WHERE len(w) > 0),
 b AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines, (count(*) FILTER (failed))::BIGINT AS n_failed_lines,
   coalesce(sum(n) FILTER (failed), 0)::BIGINT AS n_lost_words FROM bad GROUP BY doc_id),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d WHERE len(w) > 2),
@@ -77,7 +82,7 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM v"""
 
 
-def license_scan(rare: int = 8, agree: int = 3) -> str:
+def license_scan(agree: int = 3) -> str:
     posts = ", ".join(f"('{w}', {k}, {i})" for k, (_, text, _) in enumerate(NOTICES) for i, w in enumerate(text.split()))
     notes = ", ".join(f"({k}, '{label}', '{key}', {f' {text} '.index(f' {key} ') and len(text[: text.index(key)].split())})" for k, (label, text, key) in enumerate(NOTICES))
     names = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
@@ -89,8 +94,7 @@ base AS (SELECT u.doc_id, p, label FROM u JOIN names ON word = string_split(phra
 bs AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 held AS (SELECT word, count(DISTINCT doc_id) AS n FROM u SEMI JOIN posts USING (word) GROUP BY word),
 idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM posts) LEFT JOIN held USING (word)),
-top AS (SELECT doc_id, word, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, word FROM u SEMI JOIN posts USING (word)) JOIN idf USING (word)
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) <= {rare}),
+top AS (SELECT doc_id, word, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, word FROM u SEMI JOIN posts USING (word))),
 votes AS (SELECT u.doc_id, posts.k, u.p - posts.i AS i FROM u JOIN top USING (doc_id, word) JOIN posts USING (word) WHERE top.n >= {agree} GROUP BY ALL HAVING count(*) >= {agree}),
 seen AS (SELECT v.doc_id, v.k, v.i, label FROM votes v JOIN notes USING (k) JOIN d USING (doc_id)
   WHERE v.i + place >= 0 AND array_to_string(d.w[v.i + place + 1:v.i + place + len(string_split(key, ' '))], ' ') = key),

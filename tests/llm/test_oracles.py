@@ -27,6 +27,11 @@ def folder(spark, tmp_path_factory):
     texts = [None, "", " \t\n", "one two", "one two", "ONE two\x0bthree four five six", "a\n\nb\n", "cc by cc by", "Click here " * 40]
     texts += [f"Filler é then {text.upper()} and more." for _, text, _ in NOTICES]
     texts += [f"{text[: len(text) // 2]} stop" for _, text, _ in NOTICES]
+    notices = [text for _, text, _ in NOTICES]  # several in a text, and words of others between them
+    texts += [" filler. ".join(notices), " ".join(reversed(notices))]
+    texts += [f"{a} and {b}" for a in notices for b in notices if a != b]
+    # lines of more than 64 words: prose with few new words, a few words over and over, repeated windows
+    texts += [" ".join(f"w{int(400 * rng.random() ** 3)}" for _ in range(3000)) + ".", " ".join(rng.choice("abcdefgh") for _ in range(300)) + ".", "one line. " + "some words that come again and again in it, " * 40]
     for _ in range(60):
         made = [rng.choice(words) if rng.random() < 0.4 else f"w{rng.randrange(900)}" for _ in range(rng.randrange(120))]
         texts.append(" ".join(made))
