@@ -1,14 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table of line keys (128-bit hashes) bucketed and sorted by the key,
-so a batch meets all runs in merge anti joins without moving them.  Each batch
-leaves one run on level 0; `fanout` runs of a level are merged into one run of
-the next level before the next batch comes.
+one file a bucket, so a batch meets all runs in merge anti joins that neither
+move nor sort them.  Each batch leaves one run on level 0; `fanout` runs of a
+level are merged into one run of the next level before the next batch comes.
 """
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,21 @@ from pyspark.sql import functions as F
 from .common import SPACES, Scratch, ascii_lower, column, fixed, unfold, with_row
 
 KEY = ("h1", "h2")
+#: Lets Spark use the order in which a bucket of one file was written.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextlib.contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(ORDERED, None)
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ORDERED)
+        else:
+            spark.conf.set(ORDERED, before)
 
 
 def line_key(line: Column) -> Column:
@@ -75,16 +92,19 @@ class LineRuns:
         A line goes if its key is in a run, or if a smaller __id of the batch holds it.
         """
         self.compact()
-        lines = self.keyed(batch)
+        lines = self.scratch.put(self.keyed(batch), f"lines-{self.count}")  # split and hashed once, read twice
         fresh = lines.groupBy(*KEY).agg(F.min("__id").alias("owner"))
         for tables in self.levels.values():
             for table in tables:
                 fresh = fresh.join(self.spark.table(table).select(*KEY).hint("merge"), list(KEY), "left_anti")
-        run = self._write(fresh, 0)
+        with ordered_buckets(self.spark):
+            run = self._write(fresh, 0)
         owners = self.spark.read.schema(fresh.schema).parquet(f"{self.scratch.path}/{run}").withColumn("new", F.lit(True))
         met = lines.join(owners.hint("merge"), list(KEY), "left")
         gone = met.where(F.col("new").isNull() | ~F.col("__id").eqNullSafe(F.col("owner"))).select("__id", "th", "pos")
-        return self.scratch.put(gone, f"gone-{run}")
+        gone = self.scratch.put(gone, f"gone-{run}")
+        self.scratch.drop(f"lines-{self.count - 1}")
+        return gone
 
     def close(self) -> None:
         for tables in self.levels.values():
