@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, unfold, with_row
+from .common import Scratch, ascii_lower, meet, unfold, with_row
 
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -60,7 +60,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
 
     rules: (allow or block, "host/path") pairs, a short list.  A rule fits its
     host and all subdomains where the path starts with the rule's; the longest
-    wins.  A host of which more than half of the pages are allowed (blocked) by
+    wins, of equally long ones block.  A host of which more than half of the pages are allowed (blocked) by
     rules is a seed of trust (distrust).  Elsewhere a page is blocked if its
     host's distrust is above its trust.  Null urls have an empty host and path,
     null html has no links; repeated pages count as often as they stand; an
@@ -72,8 +72,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
     rows = rows.withColumns({"__host": host_of(F.col("__url")), "__path": path_of(F.col("__url"))})
     name, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
     rows = rows.withColumns({"__rule": name, "__said": verdict})
-    hosts = rows.groupBy("__host").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("__said") == s, 1)).alias(s) for s in ("allow", "block")])
-    hosts = hosts.where("__host <> ''")
+    counted = rows.groupBy("__host").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("__said") == s, 1)).alias(s) for s in ("allow", "block")])
+    counted = scratch.put(counted, "counts")
+    hosts = counted.where("__host <> ''")
     seeds = [hosts.where(F.col(s) * 2 > F.col("n")).select(F.lit(k).alias("kind"), F.col("__host").alias("host"), F.col(s).cast("double").alias("mass")) for k, s in (("trust", "allow"), ("distrust", "block"))]
     seeds = scratch.put(reduce(DataFrame.unionByName, seeds), "seeds")
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
@@ -90,8 +91,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
         edges = scratch.put(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("share")), "edges")
         ranks = propagate(edges, seeds, scratch, rounds, damping)
     score = ranks.groupBy(F.col("host").alias("h")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
-    score = scratch.put(score, "score")
-    met = rows.drop("__html").join(score, F.col("__host") == F.col("h"), "left")
+    score = counted.select("__host", "n").join(score, F.col("__host") == F.col("h"), "left").drop("h")
+    met = meet(rows.drop("__html"), scratch.put(score, "score"), ["__host"], "n")
     trust, distrust = (F.coalesce(F.col(k), F.lit(0.0)) for k in ("trust", "distrust"))
     said = F.coalesce("__said", F.when(distrust > trust, "block").otherwise("allow"))
     return unfold(met, pages.columns, host=F.col("__host"), path=F.col("__path"), rule=F.col("__rule"), verdict=said, trust=trust, distrust=distrust)
