@@ -38,6 +38,9 @@ class IncompatibleType(EngineError): ...
 class PrimaryKeyRepeat(EngineError): ...
 
 
+class NullValue(EngineError): ...
+
+
 class DatabaseNotFound(EngineError): ...
 
 

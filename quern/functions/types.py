@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import IncompatibleType, StringOverflow
-from ..plans.lang import ColumnDef, Value
+from ..plans.lang import ColumnDef, Plus, Value
 
 FAMILY = {"INT": (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "FLOAT": (T.FloatType, T.DoubleType, T.DecimalType), "CHAR": (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)}
 
@@ -33,5 +33,19 @@ def check_value(value: Value, field: T.StructField) -> None:
         raise StringOverflow(f"{value.value!r} is longer than {field.name}, CHAR({length})")
 
 
+def assigned(value: Value | Plus, field: T.StructField, scope, table: str) -> Column:
+    """What SET gives a column: a literal, or another column (or the same) plus or minus a literal of its kind."""
+    if isinstance(value, Value):
+        check_value(value, field)
+        return literal(value, field)
+    left = scope.resolve(value.left)
+    other = scope.field(left)
+    kinds = {kind_of(field)[0], kind_of(other)[0], value.right.kind}
+    if len(kinds) > 1 or kinds == {"CHAR"}:
+        raise IncompatibleType(f"{field.name} can't be {left} {value.op} {value.right.value!r}")
+    here, there = F.col(f"`{table}.{other.name}`"), literal(value.right, other)
+    return (here + there if value.op == "+" else here - there).cast(field.dataType)
+
+
 def literal(value: Value, field: T.StructField) -> Column:
     return F.lit(value.value).cast(field.dataType)

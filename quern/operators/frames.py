@@ -57,14 +57,19 @@ def join_tables(query: Bound, frames: dict[str, DataFrame], scope: Scope) -> Dat
     return out
 
 
+def names_of(query: Bound) -> list[str]:
+    """The result's column names: bare where that is unique, else table.column."""
+    names = [c.name for c in query.columns]
+    return [c.name if names.count(c.name) == 1 or len({x.table for x in query.columns if x.name == c.name}) == 1 else label(c) for c in query.columns]
+
+
 def build(query: Bound, frames: dict[str, DataFrame], scope: Scope) -> DataFrame:
-    """The query's result; columns are named bare where that is unique, else table.column."""
+    """The query's result."""
     out = join_tables(query, frames, scope)
     if query.order:
         col, desc = query.order
         out = out.orderBy(ref(col).desc() if desc else ref(col).asc())
-    names = [c.name for c in query.columns]
-    return out.select(*[ref(c).alias(c.name if names.count(c.name) == 1 or len({x.table for x in query.columns if x.name == c.name}) == 1 else label(c)) for c in query.columns])
+    return out.select(*[ref(c).alias(n) for c, n in zip(query.columns, names_of(query), strict=True)])
 
 
 def gather(df: DataFrame, column: str, parts: int) -> DataFrame:

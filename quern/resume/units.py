@@ -1,6 +1,6 @@
 """Long queries in durable units: a run that dies resumes with the units it has not done.
 
-A run's folder holds its journal (the query's text, its hash, the pinned input
+A run's folder holds its journal (the query's text, its hash, the input's
 version and unit bounds), a folder per unit and a marker per finished unit.  A
 unit is the query over one half-open range of a column, so units are disjoint
 and together cover the input; a query that distributes over a partition of its
@@ -10,47 +10,17 @@ input is their union, and one with partial aggregates merges them.
 from __future__ import annotations
 
 import hashlib
-import json
 import time
 from collections.abc import Callable, Sequence
 from datetime import date, datetime
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, IllegalArgumentException, ParseException, PySparkException, PySparkTypeError, PySparkValueError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import Folder
 from ..sources.tables import bounds
-from .policies import RewardPolicy, Step
-
-
-class Folder:
-    """Small files and markers of a run through Hadoop's file systems."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.jvm = spark, root, spark._jvm
-        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def has(self, name: str) -> bool:
-        return self.fs.exists(self._path(name))
-
-    def put(self, name: str, data: dict) -> None:
-        """Written beside and renamed, so a reader sees all of it or nothing."""
-        out = self.fs.create(self._path(f"{name}.part"), True)
-        out.write(bytearray(json.dumps(data).encode()))
-        out.close()
-        self.fs.rename(self._path(f"{name}.part"), self._path(name))
-
-    def get(self, name: str) -> dict:
-        stream = self.fs.open(self._path(name))
-        try:
-            return json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
-
-    def delete(self) -> None:
-        self.fs.delete(self._path(""), True)
 
 
 def ranges(low, high, parts: int) -> list:
@@ -120,36 +90,16 @@ class ResumableQuery:
         self.folder.delete()
 
 
-class JoinChain:
-    """Joins one after the other; a policy says which results are written, and a new driver starts from the last one written."""
-
-    def __init__(self, spark: SparkSession, root: str, policy: RewardPolicy | None = None):
-        self.spark, self.root, self.folder, self.policy = spark, root, Folder(spark, root), policy or RewardPolicy()
-
-    def run(self, first: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], facts: Callable[[int, str], Step] | None = None, stop_after: int | None = None) -> DataFrame:
-        """facts: what the policy is told about step k; by default its time so far and a constant size.  stop_after: as if killed there."""
-        at = max((k for k in range(len(steps)) if self.folder.has(f"step-{k}.json")), default=-1)
-        out = first if at < 0 else self.spark.read.parquet(f"{self.root}/step={at}")
-        began = time.time()
-        for k in range(at + 1, len(steps)):
-            name, step = steps[k]
-            out = step(out)
-            known = facts(k, name) if facts else Step(name, "join", (time.time() - began) * 1e6, 1e6)
-            if self.policy.should_checkpoint(known):
-                out.write.mode("overwrite").parquet(f"{self.root}/step={k}")
-                self.folder.put(f"step-{k}.json", {"name": name})
-                out = self.spark.read.parquet(f"{self.root}/step={k}")
-            if k == stop_after:
-                break
-        return out
-
+def with_retries(action: Callable[[], DataFrame], tries: int = 3, pause: float = 0.0) -> DataFrame:
+    """A client's failover: run again when a job, a driver or a connection fails; durable units make that cheap.
 
-def with_retries(action: Callable[[], DataFrame], tries: int = 3) -> DataFrame:
-    """A client's failover: run again when a driver or connection fails; durable units make that cheap."""
+    Errors that would come again (a wrong statement, a name that is not there, the engine's own) are raised at once.
+    """
     for k in range(tries):
         try:
             return action()
-        except (ConnectionError, OSError):
-            if k == tries - 1:
+        except (PySparkException, Py4JError, ConnectionError, OSError) as e:
+            if k == tries - 1 or isinstance(e, (AnalysisException, ParseException, IllegalArgumentException, PySparkTypeError, PySparkValueError)):
                 raise
+            time.sleep(pause)
     raise AssertionError

@@ -11,8 +11,22 @@ from pyspark.sql import types as T
 CORE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+_schemas: dict[tuple[str, int], T.StructType] = {}
+
+
+def parquet_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet file or folder; its schema is read from a footer once for each state of it, for that takes a job."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    key = (path, place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime())
+    if key not in _schemas:
+        if len(_schemas) > 1000:
+            _schemas.clear()
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def parquet_tables(spark: SparkSession, folder: str, names: Iterable[str] = CORE) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+    return {n: parquet_table(spark, f"{folder}/{n}.parquet") for n in names}
 
 
 def read_separated(spark: SparkSession, path: str, schema: T.StructType | str, separator: str = ",", header: bool = False) -> DataFrame:

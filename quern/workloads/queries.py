@@ -6,23 +6,26 @@ is SQL beyond that language.  Dates are shifted to the supplied range.
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import Engine
+from ..errors import EngineError
 from ..operators.frames import build, gather
 from ..plans.analyze import Scope, bind
 from ..plans.lang import parse
-from ..resume.policies import RewardPolicy, Step
-from ..resume.units import JoinChain, ResumableQuery
-from ..sources.tables import CORE, bounds, parquet_tables
-from ..streaming.changelog import replay, table_state
+from ..resume.sql import Killed, SqlRun
+from ..resume.units import ResumableQuery
+from ..sources.tables import CORE, bounds, parquet_table, parquet_tables
+from ..streaming.changelog import read_state, replay, replay_stream, table_state
+from .transactions import NEW_ORDERS_SQL, PAYMENT_COUNTS_SQL, PAYMENTS_SQL, new_orders, payment_counts, payments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +59,7 @@ STATEMENTS = {
     "filter_col_col": "select l_orderkey, l_partkey, l_suppkey from lineitem where l_partkey = l_suppkey",
     "join_equi2": "select c_custkey, n_name from customer, nation where c_nationkey = n_nationkey",
     "join_keyword": "select s_suppkey, r_name from supplier join nation join region where s_nationkey = n_nationkey and n_regionkey = r_regionkey",
-    "join_multikey": "select c_custkey, s_suppkey from customer, supplier where c_nationkey = s_nationkey and c_mktsegment = s_name",
+    "join_multikey": "select c_custkey, s_suppkey from customer, supplier where c_nationkey = s_nationkey and c_custkey = s_suppkey",
     "join_multikey2": "select o_orderkey, l_linenumber from orders, lineitem where o_orderkey = l_orderkey and o_custkey = l_partkey",
     "join_cross": "select r_name, n_name from region, nation",
     "join_theta": "select r_name, n_name from region, nation where r_regionkey < n_regionkey",
@@ -116,20 +119,29 @@ SQL = {
 
 
 def tier_b(text: str) -> Query:
+    named = [n for n in CORE if re.search(rf"\b{n}\b", text)]
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        for name, df in parquet_tables(spark, folder).items():
+        for name, df in parquet_tables(spark, folder, named).items():
             df.createOrReplaceTempView(name)
         return spark.sql(text)
 
     return run
 
 
-def ranked(desc: bool) -> Query:
-    """The order of a sort as a column, so that results compare as sets."""
+def delivered(desc: bool) -> Query:
+    """Values with the places they have in the engine's own sorted output: partitions in order, rows in order within."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        rows = spj(spark, folder, "select o_orderkey, o_totalprice from orders where o_orderkey < 400 order by o_totalprice" + " desc" * desc)
-        order = [F.col("o_totalprice").desc() if desc else F.col("o_totalprice"), F.col("o_orderkey")]
-        return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+        rows = spj(spark, folder, "select o_totalprice from orders order by o_totalprice" + " desc" * desc)
+        path = place(spark, "sorted")
+        rows.withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+        held = spark.read.schema("o_totalprice double, at long").parquet(path).withColumn("part", F.shiftright("at", 33))
+        before, starts = 0, []
+        for part, n in sorted(map(tuple, held.groupBy("part").count().collect())):  # a row a partition
+            starts.append((part, before))
+            before += n
+        starts = F.broadcast(spark.createDataFrame(starts, "part long, before long"))
+        return held.join(starts, "part").select("o_totalprice", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
 
     return run
 
@@ -140,17 +152,22 @@ def gather_parallel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def column_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    low, high = bounds(spark.read.parquet(f"{folder}/orders.parquet"), "o_orderkey")
+    low, high = bounds(parquet_table(spark, f"{folder}/orders.parquet"), "o_orderkey")
     return spark.createDataFrame([(low, high)], "low long, high long")
 
 
 def log_replay_latest(spark: SparkSession, folder: str) -> DataFrame:
-    log = spark.read.parquet(f"{folder}/events.parquet").select("user_id", "event_id", "event_type", "value")
+    log = parquet_table(spark, f"{folder}/events.parquet").select("user_id", "event_id", "event_type", "value")
     return replay(log, ["user_id"], "event_id")
 
 
 def place(spark: SparkSession, what: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-")
+    """A new folder under the one that driver and executors share; one of our own only where all run in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="quern-")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
@@ -160,7 +177,7 @@ def region_engine(spark: SparkSession, folder: str) -> Engine:
     engine.sql("create table region (r_regionkey int, r_name char(25), primary key(r_regionkey))")
     engine.sql("create table nation (n_nationkey int, n_name char(25), n_regionkey int, primary key(n_nationkey))")
     for name in ("region", "nation"):
-        engine.insert_rows(name, spark.read.parquet(f"{folder}/{name}.parquet"))
+        engine.insert_rows(name, parquet_table(spark, f"{folder}/{name}.parquet"))
     return engine
 
 
@@ -198,48 +215,141 @@ def resume_units(spark: SparkSession, folder: str) -> DataFrame:
     def merge(df: DataFrame) -> DataFrame:
         return df.groupBy("l_returnflag").agg(F.round(F.sum("q"), 2).alias("sum_qty"), F.sum("n").alias("n"))
 
-    root, source = place(spark, "run"), spark.read.parquet(f"{folder}/lineitem.parquet")
+    root, source = place(spark, "run"), parquet_table(spark, f"{folder}/lineitem.parquet")
     make = lambda: ResumableQuery(spark, root, "returnflag sums", source, "l_orderkey", partial, 5, merge)
     make().run(most=2)
     return make().result()
 
 
 def resume_dates(spark: SparkSession, folder: str) -> DataFrame:
-    root, source = place(spark, "run"), spark.read.parquet(f"{folder}/orders.parquet")
+    root, source = place(spark, "run"), parquet_table(spark, f"{folder}/orders.parquet")
     query = lambda df: df.where("o_totalprice > 200000").select("o_orderkey", "o_totalprice")
     ResumableQuery(spark, root, "large orders", source, "o_orderdate", query, 4).run(most=1)
     return ResumableQuery(spark, root, "large orders", source, "o_orderdate", query, 4).result()
 
 
-def join_chain(spark: SparkSession, folder: str, stop_after: int | None = None, root: str | None = None) -> DataFrame:
-    t = parquet_tables(spark, folder)
-    steps = [
-        ("orders", lambda df: df.join(t["orders"].select("o_orderkey", "o_custkey"), df["l_orderkey"] == F.col("o_orderkey"))),
-        ("customer", lambda df: df.join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))),
-        ("nation", lambda df: df.join(t["nation"].select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))),
-    ]
-    first = t["lineitem"].select("l_orderkey", "l_linenumber", "l_quantity")
-    facts = lambda k, name: Step(name, "join", 1e7, 1e6)
-    return JoinChain(spark, root or place(spark, "chain"), RewardPolicy()).run(first, steps, facts, stop_after)
+#: A statement of three joins and a sort, for runs that are cut off and gone on with.
+LONG = "select l_orderkey, l_linenumber, l_quantity, n_name from lineitem, orders, customer, nation where l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n_nationkey order by n_name"
+
+
+def resumed(policy: dict, stop: tuple[int, int]) -> Query:
+    """The driver is lost after an operator of a unit; another one opens the folder, with neither text nor plan in hand, and ends the run."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        root = place(spark, "run")
+        with contextlib.suppress(Killed):
+            SqlRun(spark, root, LONG, {"folder": folder}, 3, policy).run(stop)
+        return SqlRun(spark, root).result().groupBy("n_name").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))
+
+    return run
+
+
+def resume_sort(spark: SparkSession, folder: str) -> DataFrame:
+    """Lost after the sort; the second driver delivers the places that the first one wrote."""
+    root = place(spark, "run")
+    SqlRun(spark, root, "select o_totalprice, o_orderkey from orders where o_orderkey > 0 order by o_totalprice desc", {"folder": folder}, 2).result()
+    return SqlRun(spark, root).result()
+
+
+def resume_pinned(spark: SparkSession, folder: str) -> DataFrame:
+    """The run reads the version it began with, whatever is committed between loss and resumption."""
+    engine, root = region_engine(spark, folder), place(spark, "run")
+    with contextlib.suppress(Killed):
+        SqlRun(spark, root, "select n_nationkey, n_name, r_name from nation, region where n_regionkey = r_regionkey", {"database": engine.store.root}, 3).run((0, 1))
+    engine.sql("delete from nation where n_nationkey >= 0")
+    return SqlRun(spark, root).result()
 
 
-def resume_join_chain(spark: SparkSession, folder: str) -> DataFrame:
-    root = place(spark, "chain")
-    join_chain(spark, folder, stop_after=1, root=root)
-    return join_chain(spark, folder, root=root).groupBy("n_name").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))
+#: Tables in the order in which a join tree takes them: (table, its key, the key it meets).
+TREE = (("nation", "n_regionkey", "r_regionkey"), ("supplier", "s_nationkey", "n_nationkey"), ("lineitem", "l_suppkey", "s_suppkey"), ("orders", "o_orderkey", "l_orderkey"), ("customer", "c_custkey", "o_custkey"), ("part", "p_partkey", "l_partkey"))
+#: Beyond those, tables with a unique key come round again and meet their own key.
+AGAIN = (("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"))
 
 
-def joins_of_all(spark: SparkSession, folder: str) -> DataFrame:
-    """A left-deep tree of the natural joins of all tables, built by a fold over the join graph."""
-    t = parquet_tables(spark, folder)
-    edges = [("orders", "l_orderkey", "o_orderkey"), ("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey"), ("customer", "o_custkey", "c_custkey"), ("nation", "s_nationkey", "n_nationkey"), ("region", "n_regionkey", "r_regionkey")]
-    whole = reduce(lambda df, e: df.join(t[e[0]], F.col(e[1]) == F.col(e[2])), edges, t["lineitem"])
-    return whole.groupBy("r_regionkey").agg(F.count("*").alias("n"))
+def join_tree(frames: dict[str, DataFrame], joins: int, every: int = 8) -> DataFrame:
+    """A left-deep tree of so many joins, region first, sorted by r_regionkey; after `every` joins a projection drops all but the keys."""
+    keys = {k for _, a, b in TREE for k in (a, b)} | {"l_linenumber"}
+    out = frames["region"]
+    for k in range(joins):
+        if k < len(TREE):
+            table, key, met = TREE[k]
+            out = out.join(frames[table], F.col(key) == F.col(met))
+        else:
+            table, key = AGAIN[(k - len(TREE)) % len(AGAIN)]
+            again = frames[table].select(*[F.col(c).alias(f"{c}_{k}") for c in frames[table].columns])
+            out = out.join(again, F.col(key) == F.col(f"{key}_{k}"))
+        if (k + 1) % every == 0:
+            out = out.select(*[c for c in out.columns if c in keys])
+    return out.orderBy("r_regionkey")
 
 
+def joins(count: int) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        frames = parquet_tables(spark, folder, ["region", *[t for t, _, _ in TREE]])
+        return join_tree(frames, count).groupBy("r_regionkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("numbers"))
+
+    return run
+
+
+def log_after_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Failed statements of a transaction leave no trace: the replayed log is the table."""
+    engine = region_engine(spark, folder)
+    engine.sql("begin")
+    for text in ("update nation set n_nationkey = 2 where n_nationkey = 1", "insert into nation values (3, 'TWICE', 0)", "insert into nation values (200, 'a name that is longer than its column', 0)"):
+        with contextlib.suppress(EngineError):
+            engine.sql(text)
+    engine.sql("insert into nation values (100, 'NEW', 4)")
+    engine.sql("update nation set n_nationkey = n_nationkey + 300 where n_regionkey = 1")
+    engine.sql("commit")
+    with contextlib.suppress(EngineError):
+        engine.sql("update nation set n_nationkey = 100 where n_nationkey = 0")
+    return table_state(engine.change_log(), "nation", "n_nationkey int, n_name string, n_regionkey int")
+
+
+def txn_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """The driver is lost inside a transaction; another one goes on from what the first had staged, and commits."""
+    engine = region_engine(spark, folder)
+    engine.sql("begin")
+    engine.sql("delete from nation where n_regionkey = 3")
+    ticket = engine.save()
+    engine.sql("insert into nation values (100, 'NEW', 4)")
+    second = Engine(spark, engine.store.root)
+    second.resume(ticket)
+    second.sql("update nation set n_name = 'LATE' where n_nationkey = 100")
+    second.sql("commit")
+    return second.sql("select * from nation")
+
+
+def read_own_lsn(spark: SparkSession, folder: str) -> DataFrame:
+    """A reader waits for the log sequence number of the writer's commit, then reads that version."""
+    writer = region_engine(spark, folder)
+    reader = Engine(spark, writer.store.root)
+    writer.sql("delete from nation where n_regionkey = 0")
+    return reader.table("nation", reader.wait_for(writer.last_lsn()))
+
+
+def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a log in three files, out of order, replayed as a stream: each user's last event, users whose last is a purchase deleted."""
+    log, state, at = place(spark, "log"), place(spark, "state"), place(spark, "at")
+    schema = "user_id long, event_id long, event_type string, value double"
+    events = parquet_table(spark, f"{folder}/events.parquet").select("user_id", "event_id", "event_type", "value")
+    for k in (2, 0, 1):
+        events.where(F.pmod("event_id", F.lit(3)) == k).coalesce(2).write.mode("append").parquet(log)
+        replay_stream(spark, log, state, at, ["user_id"], "event_id", schema).awaitTermination()
+    return read_state(spark, state, schema, "event_type", "purchase")
+
+
+def freshness(spark: SparkSession, folder: str) -> DataFrame:
+    """How old what a replica lacks is, for a read at each event, where the log is replayed by hundreds; the nearest-rank p95, and the worst."""
+    first = Window.partitionBy(F.floor(F.col("event_id") / 100)).orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = parquet_table(spark, f"{folder}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    lags = events.select(F.greatest(F.unix_micros("ts") - F.min(F.unix_micros("ts")).over(first), F.lit(0)).alias("lag"))
+    return lags.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY lag)").cast("long").alias("p95_us"), F.max("lag").alias("worst_us"), F.count("*").alias("reads"))
+
+
+RESUMED = "SELECT n_name, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
 MADE: dict[str, tuple[Query, str]] = {
-    "sort_asc": (ranked(False), "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders WHERE o_orderkey < 400"),
-    "sort_desc": (ranked(True), "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_orderkey < 400"),
+    "sort_asc": (delivered(False), "SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice) AS place FROM orders"),
+    "sort_desc": (delivered(True), "SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC) AS place FROM orders"),
     "gather_parallel": (gather_parallel, "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 1000"),
     "column_bounds": (column_bounds, "SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders"),
     "log_replay_latest": (log_replay_latest, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
@@ -255,8 +365,21 @@ MADE: dict[str, tuple[Query, str]] = {
     "snapshot_read": (snapshot_read, "SELECT * FROM nation"),
     "resume_units": (resume_units, "SELECT l_returnflag, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem GROUP BY l_returnflag"),
     "resume_dates": (resume_dates, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000"),
-    "resume_join_chain": (resume_join_chain, "SELECT n_name, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
-    "joins_of_all": (joins_of_all, "SELECT r_regionkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey"),
+    "resume_join_chain": (resumed({"kind": "reward"}, (1, 1)), RESUMED),
+    "resume_interval": (resumed({"kind": "interval", "seconds": 0.2}, (0, 2)), RESUMED),
+    "resume_enumerative": (resumed({"kind": "enumerative"}, (2, 1)), RESUMED),
+    "resume_sort": (resume_sort, "SELECT o_totalprice, o_orderkey FROM orders WHERE o_orderkey > 0"),
+    "resume_pinned": (resume_pinned, "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "joins_of_all": (joins(6), "SELECT r_regionkey, count(*) AS n, sum(l_linenumber)::BIGINT AS numbers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey GROUP BY r_regionkey"),
+    "joins_14": (joins(14), "SELECT r_regionkey, count(*) AS n, sum(l_linenumber)::BIGINT AS numbers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey GROUP BY r_regionkey"),
+    "log_after_failures": (log_after_failures, "SELECT CASE WHEN n_regionkey = 1 THEN n_nationkey + 300 ELSE n_nationkey END AS n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'NEW', 4"),
+    "txn_resume": (txn_resume, "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT 100, 'LATE', 4"),
+    "read_own_lsn": (read_own_lsn, "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 0"),
+    "stream_replay": (stream_replay, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'purchase'"),
+    "hat_freshness_p95": (freshness, "SELECT quantile_disc(lag, 0.95)::BIGINT AS p95_us, max(lag)::BIGINT AS worst_us, count(*) AS reads FROM (SELECT greatest(epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY event_id // 100 ORDER BY event_id)), 0) AS lag FROM events)"),
+    "tpcc_new_order": (lambda spark, folder: new_orders(spark, folder, place(spark, "db")), NEW_ORDERS_SQL),
+    "tpcc_payment": (lambda spark, folder: payments(spark, folder, place(spark, "db")), PAYMENTS_SQL),
+    "hat_payment_txn": (lambda spark, folder: payment_counts(spark, folder, place(spark, "db")), PAYMENT_COUNTS_SQL),
 }
 
 

@@ -1,9 +1,10 @@
 import pytest
 
 from quern import errors as E
-from quern.catalog import Engine
+from quern.catalog import MOST_SMALL, Engine
 from quern.functions.render import render
 from quern.plans.lang import parse
+from quern.streaming.changelog import table_state
 from quern.workloads.queries import place
 
 ROWS1 = [(0, 1, 1.1, "abc"), (2, 2, 2.2, "def"), (5, 3, 2.2, "xyz"), (4, 4, 2.2, "0123456789abcdef"), (2, 5, -1.11, "")]
@@ -123,6 +124,110 @@ def test_first_committer_wins(spark):
         Engine(spark, root)
 
 
+def small(spark):
+    engine = Engine.create(spark, place(spark, "test-db"))
+    engine.sql("create table t (k int, v int, c char(4), primary key(k))")
+    engine.insert_rows("t", spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "k int, v int, c string"))
+    return engine
+
+
+def state(engine):
+    return sorted(tuple(r) for r in table_state(engine.change_log(), "t", "k int, v int, c string").collect())
+
+
+def test_failed_statements_leave_no_log_rows(spark):
+    engine = small(spark)
+    engine.sql("begin")
+    with pytest.raises(E.PrimaryKeyRepeat):
+        engine.sql("update t set k = 2 where k = 1")
+    with pytest.raises(E.PrimaryKeyRepeat):
+        engine.sql("insert into t values (2, 0, 'x')")
+    engine.sql("insert into t values (3, 30, 'c')")
+    engine.sql("commit")
+    assert rows(engine, "select * from t") == state(engine) == [(1, 10, "a"), (2, 20, "b"), (3, 30, "c")]
+    engine.sql("update t set k = k + 10, v = v - 1 where v > 10")
+    engine.sql("delete from t where k = 1")
+    assert rows(engine, "select * from t") == state(engine) == [(12, 19, "b"), (13, 29, "c")]
+    ends = [r.lsn for r in engine.change_log().where("op = 'COMMIT'").collect()]
+    assert len(ends) == 4 and max(ends) == engine.last_lsn() == max(r.lsn for r in engine.change_log().collect())
+
+
+def test_log_rows_without_a_manifest_do_not_count(spark):
+    engine = small(spark)
+    engine.sql("begin")
+    engine.sql("insert into t values (3, 30, 'c')")  # the driver is lost here
+    assert state(Engine(spark, engine.store.root)) == [(1, 10, "a"), (2, 20, "b")]
+
+
+@pytest.mark.parametrize(
+    ("new", "error"),
+    [([(None, 1, "x")], E.NullValue), ([(5, None, "x")], E.NullValue), ([(5, 1, "twelve chars")], E.StringOverflow), ([(5, 1, "x"), (5, 2, "y")], E.PrimaryKeyRepeat), ([(1, 1, "x"), (7, 1, "x")], E.PrimaryKeyRepeat)],
+)
+def test_insert_rows_checks_and_aborts(spark, new, error):
+    engine = small(spark)
+    frame = spark.createDataFrame(new, "k int, v int, c string")
+    with pytest.raises(error):
+        engine.insert_rows("t", frame)
+    engine.sql("begin")
+    with pytest.raises(error):
+        engine.insert_rows("T", frame)
+    engine.sql("insert into t values (9, 9, 'z')")
+    engine.sql("commit")
+    assert rows(engine, "select * from t") == state(engine) == [(1, 10, "a"), (2, 20, "b"), (9, 9, "z")]
+
+
+def test_set_with_plus_and_minus(spark):
+    engine = small(spark)
+    engine.sql("update t set v = v + 1, c = 'q' where k = 1")
+    engine.sql("update t set v = k -5 where k = 2")
+    assert rows(engine, "select * from t") == [(1, 11, "q"), (2, -3, "b")]
+    for text, error in (("update t set v = c + 1", E.IncompatibleType), ("update t set v = v + 1.5", E.IncompatibleType), ("update t set v = v", E.SyntaxFailure), ("update t set v = oops + 1", E.ColumnNotFound)):
+        with pytest.raises(error):
+            engine.sql(text)
+
+
+def test_small_segments_are_merged(spark):
+    engine = small(spark)
+    engine.sql("begin")
+    for k in range(3, MOST_SMALL + 3):
+        engine.sql(f"insert into t values ({k}, {k}, 'x')")
+    engine.sql("commit")
+    assert len(engine.entry("t")[1]["segments"]) < 5
+    assert [r[0] for r in rows(engine, "select k from t")] == list(range(1, MOST_SMALL + 3))
+    engine.sql("update t set v = 0 where k > 2")
+    assert sum(r[0] for r in rows(engine, "select v from t")) == 30 and len(state(engine)) == MOST_SMALL + 2
+
+
+def test_transactions_go_on_in_another_driver(spark):
+    engine = small(spark)
+    engine.sql("begin")
+    engine.sql("insert into t values (3, 30, 'c')")
+    ticket = engine.save()
+    engine.sql("delete from t where k = 1")
+    second = Engine(spark, engine.store.root)
+    second.resume(ticket)
+    assert rows(second, "select k from t") == [(2,), (3,)]
+    second.sql("commit")
+    assert rows(second, "select k from t") == [(2,), (3,)] and len(state(second)) == 2
+    with pytest.raises(E.TransactionAborted):
+        Engine(spark, engine.store.root).resume(ticket)
+
+
+def test_reads_wait_for_a_log_sequence_number(spark):
+    engine = small(spark)
+    assert engine.wait_for(engine.last_lsn()) == engine.store.latest()
+    with pytest.raises(E.TransactionAborted):
+        engine.wait_for(engine.last_lsn() + 1, 0.2)
+
+
+def test_registered_tables_match_in_any_case(spark):
+    engine = small(spark)
+    engine.register("Other", spark.createDataFrame([(1, "o")], "k int, name string"))
+    assert rows(engine, "select name, v from other, T where other.k = t.k") == [("o", 10)]
+    with pytest.raises(E.TableExists):
+        engine.sql("create table OTHER (x int, primary key(x))")
+
+
 def test_parser_accepts():
     for text in ["create table t (a int, b float, c char(4), primary key (a, c));", "select t.a, b from t join u where t.a = u.a and b >= 1. order by b asc", "delete from t", "update t set a = -1, c = 'x' where b <> 2.5", "/* x */ rollback", "show tables", "desc t"]:
         parse(text)

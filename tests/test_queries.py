@@ -33,6 +33,19 @@ def test_query(spark, duck, name):
     assert normal([tuple(r) for r in got.collect()], got.columns) == normal(want.fetchall(), want.columns)
 
 
+@pytest.mark.parametrize("name", ["sort_asc", "sort_desc"])
+def test_sort_queries_fail_without_the_sort(spark, monkeypatch, duck, name):
+    from quern.operators import frames
+
+    def unsorted(query, tables, scope):
+        query.order = None
+        return frames.build(query, tables, scope)
+
+    monkeypatch.setattr("quern.workloads.queries.build", unsorted)
+    got, want = QUERIES[name](spark, FOLDER), duck.sql(ORACLE_SQL[name])
+    assert normal([tuple(r) for r in got.collect()], got.columns) != normal(want.fetchall(), want.columns)
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["q3_spj"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(c_mktsegment), EqualTo(c_mktsegment,BUILDING)" in plan
