@@ -19,6 +19,7 @@ BOILERPLATE = (
     "cookie policy", "cookie settings", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript",
     "subscribe to our", "click here", "read more", "sign in", "sign up", "log in", "lorem ipsum", "skip to content",
 )
+#: Marks that are counted; all of them are marks of a kind above.
 SYMBOLS = "#*$%&|<>"
 
 
@@ -82,10 +83,13 @@ def line_words(text: Column) -> Column:
     return F.transform(lines, lambda x: F.when(x != "", F.split(x, " ")).otherwise(F.array().cast("array<string>")))
 
 
-def suspicions(text: Column, least_marks: int = 4) -> dict[str, Column]:
-    """What a text has to hold for any line of it to fail by marks of a kind or by a phrase: most texts are done with these."""
-    marks = F.regexp_replace(text, f"{_set(''.join(MARKS.values()), True)}+", "")
-    low = F.lower(text)
+def marks_of(text: Column) -> Column:
+    """The characters of a text that are marks of any kind, in order."""
+    return F.regexp_replace(text, f"{_set(''.join(MARKS.values()), True)}+", "")
+
+
+def suspicions(marks: Column, low: Column, least_marks: int = 4) -> dict[str, Column]:
+    """What a text (its marks, its lower case) has to hold for any line of it to fail by marks of a kind or by a phrase: most texts are done with these."""
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | low.contains(p)
@@ -117,7 +121,8 @@ def clean_lines(docs: DataFrame, text_col: str = "text", least_words: int = 50,
     """
     rows = with_row(docs, __text=text_col).withColumn("__text", F.coalesce("__text", F.lit("")))
     text = F.col("__text")
-    rows = fixed(rows, ls=F.split(text, "\n", -1), lw=line_words(text), **{f"may_{k}": v for k, v in suspicions(text).items()})
+    rows = fixed(rows, ls=F.split(text, "\n", -1), lw=line_words(text), low=F.lower(text), marks=marks_of(text))
+    rows = fixed(rows, **{f"may_{k}": v for k, v in suspicions(F.col("marks"), F.col("low")).items()})
     may = {k: F.col(f"may_{k}") for k in (*MARKS, "boilerplate")}
     rows = fixed(rows, w=F.flatten("lw"), full=F.filter("ls", lambda x, i: F.size(F.get("lw", i)) > 0), bad=F.transform("ls", lambda x, i: line_failed(x, F.get("lw", i), may)))
     rows = fixed(rows, n=F.size("w").cast("long"), hashed=windows(F.col("w")))
@@ -127,7 +132,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text", least_words: int = 50,
     good = F.when(F.size("failing") == 0, text).otherwise(F.array_join(F.filter("ls", lambda x, i: ~F.get("bad", i)), "\n"))
     return unfold(
         rows, docs.columns, n_words=F.col("n"), word_chars=F.length(F.array_join("w", "")).cast("long"),
-        n_symbols=count_of(text, SYMBOLS).cast("long"), n_dup_lines=(F.size("full") - F.size(F.array_distinct("full"))).cast("long"),
+        n_symbols=count_of(F.col("marks"), SYMBOLS).cast("long"), n_dup_lines=(F.size("full") - F.size(F.array_distinct("full"))).cast("long"),
         n_repeat_words=F.col("rep"), base_failed=failed, n_failed_lines=F.size("failing").cast("long"), n_lost_words=F.col("lost"), cleaned=good,
         kept=~failed & (100 * F.col("lost") <= most_lost * F.col("n")),
     )
