@@ -1,7 +1,7 @@
 """N-gram Jaccard join by rare-first prefix filtering.
 
 Shingles get a global order, rare first: counts of hash buckets over all
-documents (2**18 to 2**22 buckets, eight for each document between) rank the buckets, and a shingle's key is its bucket's rank followed by
+documents (2**18 to 2**20 buckets, four for each document between) rank the buckets, and a shingle's key is its bucket's rank followed by
 the rest of its hash, a bijection of the hash.  Texts of similarity t or more
 share one of their first n - ceil(t n) + 1 keys, so only those are shuffled.
 Length, positional and suffix filters prune what meets there.
@@ -26,15 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, column, components, meet, unfold, with_row
+from .counts import packed, summed
 from .shingles import mix, shingle_sets, small_batches
+from .sift import may_hold
 
-LEAST_BITS, MOST_BITS = 18, 22
-SLICES = 16
+LEAST_BITS, MOST_BITS = 18, 20
 #: Rows of one prefix key that a task takes; keys of larger hash buckets are salted.
 SALT_ROWS = 200_000
-#: The filter of wanted texts: bits for each, and the powers of two between which its size stays (16 MB at most).
-FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 27
-NO_ID = np.int64(-(2**62) - 1)
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -53,20 +51,13 @@ def _profile(words: int, bits: int, carried: list[str]):
             digests = [_digest(s) for s in sets]
             none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *batch.columns[2:], *none], schema=schema)
-        parts = np.split(counts, SLICES)
-        gone = [pa.nulls(SLICES, pa.int64())] * (4 + len(carried))
-        yield pa.RecordBatch.from_arrays([*gone, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+        parts = packed(counts)
+        gone = [pa.nulls(len(parts), pa.int64())] * (4 + len(carried))
+        yield pa.RecordBatch.from_arrays([*gone, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = 0
-    for x in table.column("counts"):
-        total = total + np.frombuffer(x.as_py(), np.uint32).astype(np.int64)
-    return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def ordered_keys(shingles: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The keys of a text's shingles in the global order."""
     bits = len(rank).bit_length() - 1
@@ -120,47 +111,12 @@ def _verify(words: int, percent: int):
     return run
 
 
-def _places(ids: pa.Array, bits: int) -> np.ndarray:
-    """Where in a filter of 2**bits bits ids stand."""
-    ids = ids.cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-    return (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _marked(bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        held = np.zeros(1 << min(bits, 20), bool)
-        held[_places(table.column("rep").combine_chunks(), bits) % len(held)] = True
-        return pa.table({"slice": table.column("slice").slice(0, 1), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
-
-    return run
-
-
-def _place_slice(bits: int):
+def _texts_with_digest(words: int):
+    """Digests and texts, each text once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _places(batch.column(0), bits) >> min(bits, 20)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(0)], names=["slice", "rep"])
-
-    return run
-
-
-def _filter(ends: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """Bits that are set for all ids rep of ends, and the logarithm of how many there are; its size is bounded, more ends only make it less sharp."""
-    bits = min(max(FILTER_LEAST, (FILTER_BITS * count).bit_length()), FILTER_MOST)
-    out = np.zeros(1 << bits, bool)
-    dealt = ends.select("rep").mapInArrow(_place_slice(bits), "slice int, rep long").distinct()
-    for at, held in dealt.groupBy("slice").applyInArrow(_marked(bits), "slice int, held binary").collect():
-        size = 1 << min(bits, 20)
-        out[at * size : (at + 1) * size] = np.unpackbits(np.frombuffer(bytes(held), np.uint8)).astype(bool)
-    return np.packbits(out), bits
-
-
-def _wanted_texts(words: int, shared, bits: int):
-    """Digests and texts of the rows whose ids are in the filter, each text once a task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = np.unpackbits(shared.value).astype(bool), set()
+        seen = set()
         for batch in small_batches(batches):
-            texts = batch.column(1).take(pa.array(np.flatnonzero(held[_places(batch.column(0), bits)])))
+            texts = batch.column(0)
             found = [_digest(s) for s in shingle_sets(texts, words)]
             take = [k for k, d in enumerate(found) if not (d in seen or seen.add(d))]
             yield pa.RecordBatch.from_arrays([*[pa.array([found[k][c] for k in take], pa.int64()) for c in (0, 1)], texts.take(pa.array(take, pa.int64()))], names=["d1", "d2", "text"])
@@ -200,11 +156,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     more = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"), *[c.alias(k) for k, c in carried.items()])
     kind = "".join(f"{k} long, " for k in ("id", "n", "d1", "d2", *carried))
-    bits = min(max(LEAST_BITS, docs.count().bit_length() + 3), MOST_BITS)
+    bits = min(max(LEAST_BITS, docs.count().bit_length() + 2), MOST_BITS)
     profile = scratch.put(more.mapInArrow(_profile(words, bits, list(carried)), f"{kind}slice int, counts binary"), "profile")
-    total, size = np.zeros(1 << bits, np.int64), (1 << bits) // SLICES
-    for at, part in profile.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_summed, "slice int, counts binary").collect():
-        total[at * size : (at + 1) * size] = np.frombuffer(bytes(part), np.int64)
+    total = summed(profile.where("slice is not null").select("slice", "counts"), 1 << bits)
     rank = np.empty(1 << bits, np.uint32)
     rank[np.argsort(total, kind="stable")] = np.arange(1 << bits, dtype=np.uint32)
     spread = 4 * int(np.median(total)) + SALT_ROWS
@@ -243,8 +197,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
         """The links among candidates (a, b): the texts of their ends are fetched and each pair is judged once."""
         ends = candidates.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
         ends = scratch.put(reps.join(ends, "d1", "left_semi").select("d1", "d2", "rep"), f"ends-{name}")
-        bitmap, bits = _filter(ends, ends.count())
-        found = rows.select("id", "text").mapInArrow(_wanted_texts(words, spark.sparkContext.broadcast(bitmap), bits), "d1 long, d2 long, text string")
+        named = may_hold(ends.select(F.xxhash64("rep")), F.xxhash64("id"), ends.count())
+        found = rows.where(named).select("text").mapInArrow(_texts_with_digest(words), "d1 long, d2 long, text string")
         texts = found.join(ends.select("d1", "d2"), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
         texts = scratch.put(texts, f"texts-{name}")
 
@@ -293,11 +247,21 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def key(text: Column) -> dict[str, Column]:
         return {"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit(1), text)}
 
-    found = _grouped(docs, id_col, text_col, words, percent, **key(column(text_col))).where("n > 0")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "one-each")
+    found = _grouped(docs, id_col, text_col, words, percent, **key(column(text_col))).where("n > 0").select("id", "__t1", "__t2", "label")
+    found = scratch.put(found, "found")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__t1", "__t2"))
-    chosen = found.groupBy("label").agg(least.alias("m")).select(F.col("m.id").alias("i"), F.col("m.__t1").alias("t1"), F.col("m.__t2").alias("t2"))
+    groups = scratch.put(found.groupBy("label").agg(least.alias("m"), F.count("*").alias("size")), "groups")
+    sized = scratch.put(meet(found, groups.select("label", "size", F.col("size").alias("rows")), ["label"], "rows").drop("label"), "sized")
+    # a text stands in a group of several rows or in none; the filter lets few rows of the others through to the join
+    several = sized.where("size > 1").select("__t1")
+    maybe = may_hold(several, F.col("__t1"), several.count())
+    ends = [F.col(c).alias(n) for c, n in (("id", "i"), ("__t1", "t1"), ("__t2", "t2"))]
+    chosen = groups.where("size > 1").select("m.*").select(*ends).union(sized.where("size = 1").where(maybe).select(*ends))
     rows = with_row(docs, __id=id_col, __text=text_col).withColumns(key(F.col("__text")))
     bare = F.coalesce(F.btrim("__text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
     met = F.col("__id").cast("long").eqNullSafe(F.col("i")) & (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2"))
-    stay = rows.where(~bare).join(chosen.hint("shuffle_hash"), met, "left_semi").dropDuplicates(["__id", "__t1", "__t2"])
-    return unfold(rows.where(bare), docs.columns).unionByName(unfold(stay, docs.columns))
+    rows = rows.withColumn("__maybe", maybe & ~bare)
+    stay = rows.where("__maybe").join(chosen.hint("shuffle_hash"), met, "left_semi").dropDuplicates(["__id", "__t1", "__t2"])
+    return unfold(rows.where("not __maybe"), docs.columns).unionByName(unfold(stay, docs.columns))

@@ -216,17 +216,33 @@ def feature_of(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};mean={flat.mean():.4f};std={flat.std():.4f};entropy={-(share * np.log2(share)).sum():.4f};step={steps:.4f}"
 
 
+FACTS = {"id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "error": pa.string()}
+
+
+def _facts(member: str, media: bytes) -> tuple:
+    key, n, _ = member.rsplit(".", 2)
+    key, n, stored = None if key == "null" else int(key), int(n), (len(media), hashlib.sha256(media).hexdigest())
+    try:
+        samples = decode_image(media)
+    except (ValueError, TypeError, zlib.error, struct.error) as error:  # one damaged member costs no other
+        return key, n, None, None, None, *stored, None, f"{type(error).__name__}: {error}"
+    payload = samples.tobytes()
+    return key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), *stored, feature_of(samples), None
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
-        rows = []
-        for member, media in zip(batch.column("member").to_pylist(), batch.column("media").to_pylist(), strict=True):
-            key, n, _ = member.rsplit(".", 2)
-            samples = decode_image(media)
-            payload = samples.tobytes()
-            rows.append((None if key == "null" else int(key), int(n), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names=names)
+        rows = [_facts(member, media) for member, media in zip(batch.column("member").to_pylist(), batch.column("media").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(FACTS), FACTS.values(), strict=True)], names=list(FACTS))
+
+
+def describe(found: DataFrame) -> DataFrame:
+    """What media_columns() returns, of archives' members (member, media).
+
+    An image that can't be decoded keeps its row: error says why, and what would
+    come from its samples is null.
+    """
+    return found.select("member", "media").mapInArrow(_describe, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -234,13 +250,13 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns id, n_bytes (UTF-8), payload_bytes (padded), payload_sha256 and
     tail_crc32 (of the samples read back), media_bytes and media_sha256 (of the
-    stored image) and feature, a row per input row.  Null counts as an empty
-    text of 64 zero bytes; a null id stays null; rows alike give like values; an
-    empty table gives an empty table.  The images lie under the shared folder.
+    stored image), feature and error (describe()), a row per input row.  Ids
+    have to be integers, or strings of them.  Null counts as an empty text of 64
+    zero bytes; a null id stays null; rows alike give like values; an empty
+    table gives an empty table; other columns play no part.  The images lie
+    under the shared folder.
     """
     spark = docs.sparkSession
     folder = f"{Scratch(spark, 'media').path}/archives"
     write_archives(docs, folder, id_col, text_col)
-    found = read_archives(spark, folder, **options).select("member", "media")
-    out = found.mapInArrow(_describe, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return out.withColumnRenamed("id", id_col)
+    return describe(read_archives(spark, folder, **options)).withColumnRenamed("id", id_col)

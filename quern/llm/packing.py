@@ -186,15 +186,16 @@ def pattern_rows(packs: list[tuple[int, list[int]]]) -> list[tuple[int, int, int
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end: int = 1, parts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end: int = 1, rows_a_part: int = 100_000) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids by the vocabulary file, then the id `end`; it is cut
     every `size` ids.  Pieces of `size` fill sequences of their own, the others
     are packed.  Null counts as an empty text, whose one id is `end`.  Repeated
-    rows are packed as often as they stand; ids may be null; an empty table
-    gives an empty table.  Ranks within a length are counted in `parts` parts,
-    so pieces of one length fill no task.
+    rows are packed as often as they stand; ids may be null, and have to be
+    integers or strings of them; other columns play no part; an empty table
+    gives an empty table.  Ranks within a length are counted in parts of about
+    `rows_a_part` pieces, 64 at least, so pieces of one length fill no task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -205,6 +206,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     table = pattern_rows(shortest_pack_first(histogram, size))
     patterns = spark.createDataFrame(table, "length long, low long, high long, base long, each long, at long")
 
+    parts = max(64, sum(histogram.values()) // rows_a_part)
     h = F.xxhash64("id", "start", "ids_crc32")
     pieces = pieces.withColumns({"h": h, "part": F.pmod(h, F.lit(parts))})
     held = pieces.groupBy("length", "part").count()

@@ -2,8 +2,8 @@
 
 A lexical transducer turns words into classes (insult, threat, target,
 negation, reported speech).  Over the classes of a clause run three transducers
-composed into one: negation reaches a few words on, a reporting verb covers the
-rest of its clause, a target sharpens what stands in its clause.  The composed
+composed into one: negation reaches a few words on, a reporting verb covers what
+follows up to a comma or conjunction, a target sharpens what stands in its clause.  The composed
 machine gives weighted events; a logistic model over an event's kinds scores a
 document.  Insults are learned: word forms and stems that mark labelled rows.
 """
@@ -28,6 +28,7 @@ from .shingles import settle
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:|\n]+")
+TOKEN = re.compile(r"[^\W\d_]+|,")
 #: Words of the grammar that labels need not teach.
 SEEDS = {
     "insult": "idiot idiots moron morons imbecile imbécile dumbass bastard scumbag asshole loser losers stupid pathetic worthless dummkopf arschloch abruti connard idiota imbécil estúpido",
@@ -35,8 +36,9 @@ SEEDS = {
     "target": "you your yourself u him her them he she they du dich ihr euch tu toi vous te usted ustedes",
     "negation": "not never no nobody isn aren wasn don doesn nicht nie kein keine pas jamais aucun nunca jamás tampoco",
     "report": "said says told claimed called wrote quoted reported sagte schrieb nannte dit disait écrit dijo escribió llamó",
+    "break": ", and but or und aber oder et mais ou y pero o",
 }
-CLASSES = ("insult", "threat", "target", "negation", "report", "other")
+CLASSES = ("insult", "threat", "target", "negation", "report", "break", "other")
 EVENTS = tuple(f"{kind}{neg}{rep}{tgt}" for kind in ("insult", "threat") for neg in ("", "-not") for rep in ("", "-said") for tgt in ("", "-at"))
 
 
@@ -66,19 +68,30 @@ class Transducer:
         return Transducer(arcs, start)
 
 
+SEEN = ("insult", "threat", "insult-not", "threat-not")
+
+
+def aimed() -> Transducer:
+    """Marks the insults and threats after a target; run backwards, those before one."""
+    said = [f"{k}{s}" for k in SEEN for s in ("", "-said")]
+    return Transducer({0: {"target": (1, None, 0.0), "*": (0, None, 0.0)}, 1: {"*": (1, None, 0.0)} | {k: (1, f"{k}-at", 0.3) for k in said}})
+
+
 def grammar(reach: int = 3) -> Transducer:
-    """Negation, reported speech and target composed: classes of a clause in, events out."""
+    """Negation, reported speech and target composed: classes of a clause in, events out.
+
+    A comma or conjunction ends the reach of a negation and of a reporting verb.
+    The machine reads a clause from left to right; aimed() then reads its output
+    from right to left, for a target may follow what is aimed at it.
+    """
     negation = {}
     for left in range(reach + 1):
         after = max(left - 1, 0)
-        negation[left] = {"negation": (reach, None, 0.0), "*": (after, None, 0.0)}
+        negation[left] = {"negation": (reach, None, 0.0), "break": (0, None, 0.0), "*": (after, None, 0.0)}
         if left:
             negation[left] |= {k: (after, f"{k}-not", -0.5) for k in ("insult", "threat")}
-    seen = ("insult", "threat", "insult-not", "threat-not")
-    report = {0: {"report": (1, None, 0.0), "*": (0, None, 0.0)}, 1: {"*": (1, None, 0.0)} | {k: (1, f"{k}-said", -0.3) for k in seen}}
-    said = [f"{k}{s}" for k in seen for s in ("", "-said")]
-    target = {0: {"target": (1, None, 0.0), "*": (0, None, 0.0)}, 1: {"*": (1, None, 0.0)} | {k: (1, f"{k}-at", 0.3) for k in said}}
-    return Transducer(negation).compose(Transducer(report), CLASSES).compose(Transducer(target), CLASSES)
+    report = {0: {"report": (1, None, 0.0), "*": (0, None, 0.0)}, 1: {"break": (0, None, 0.0), "*": (1, None, 0.0)} | {k: (1, f"{k}-said", -0.3) for k in SEEN}}
+    return Transducer(negation).compose(Transducer(report), CLASSES).compose(aimed(), CLASSES)
 
 
 class Scorer:
@@ -90,7 +103,7 @@ class Scorer:
         for entry, weight in model["lexicon"].items():
             (self.stems if entry[-1] == "*" else self.forms)[entry.rstrip("*")] = ("insult", weight)
         self.lengths = sorted({len(s) for s in self.stems})
-        self.machine, self.memo = grammar(), {}
+        self.machine, self.back, self.memo = grammar(), aimed(), {}
         self.bias, self.beta = model["bias"], np.array(model["beta"])
 
     def kind(self, word: str):
@@ -113,15 +126,17 @@ class Scorer:
         out[-1] = len(words)
         if strong:
             for clause in CLAUSE.split(low):
-                inside = WORD.findall(clause)
+                inside = TOKEN.findall(clause)
                 if strong.isdisjoint(inside):
                     continue
                 classes = [self.kind(w) or ("other", 0.0) for w in inside]
-                if any(c[0] == "target" for c in classes):  # a target sharpens its clause wherever it stands
-                    classes = [("target", 0.0), *classes]
-                state = self.machine.start
+                state, found = self.machine.start, []
                 for name, weight in classes:
                     state, event, extra = self.machine.step(state, name)
+                    found.append((event, weight + extra))
+                state = self.back.start
+                for name, weight in reversed(found):
+                    state, event, extra = self.back.step(state, name)
                     if event in _EVENT_AT:
                         out[_EVENT_AT[event]] += max(weight + extra, 0.1)
         return out

@@ -1,7 +1,9 @@
+import math
 import random
+import re
 import zlib
 
-from quern.llm.toxicity import EVENTS, grammar, learn, toxicity
+from quern.llm.toxicity import EVENTS, SEEDS, Scorer, aimed, grammar, learn, toxicity
 
 
 def run(classes):
@@ -23,6 +25,58 @@ def test_composed_grammar():
     assert run(["target", "insult", "threat"]) == [("insult-at", 0.3), ("threat-at", 0.3)]
 
 
+def test_targets_may_follow_and_breaks_end_a_reach():
+    machine, out = aimed(), []
+    state = machine.start
+    for c in reversed(["insult", "other", "insult-not-said", "target", "threat"]):
+        state, event, weight = machine.step(state, c)
+        out.append((event, weight))
+    assert out[::-1] == [("insult-at", 0.3), ("other", 0.0), ("insult-not-said-at", 0.3), ("target", 0.0), ("threat", 0.0)]
+    assert run(["report", "break", "insult"]) == [("insult", 0.0)] and run(["negation", "break", "threat"]) == [("threat", 0.0)]
+
+
+def plain_score(model, text):
+    """The grammar's rules applied to each insult and threat by itself."""
+    kinds = {w: (k, 1.0) for k, ws in SEEDS.items() for w in ws.split()}
+    kinds |= {w: ("insult", v) for w, v in model["lexicon"].items() if w[-1] != "*"}
+    stems = {w[:-1]: v for w, v in model["lexicon"].items() if w[-1] == "*"}
+
+    def kind(w):
+        return kinds.get(w) or next((("insult", stems[w[:n]]) for n in sorted({len(x) for x in stems}) if len(w) >= n and w[:n] in stems), ("other", 0.0))
+
+    sums = dict.fromkeys(EVENTS, 0.0)
+    low = (text or "").lower()
+    for clause in re.split(r"[.!?:;|\n]+", low):
+        tokens = [kind(w) for w in re.findall(r"[^\W\d_]+|,", clause)]
+        for i, (name, weight) in enumerate(tokens):
+            if name not in ("insult", "threat"):
+                continue
+            start = max([k + 1 for k in range(i) if tokens[k][0] == "break"], default=0)
+            before = [k for k, _ in tokens[start:i]]
+            event = name
+            if "negation" in before[-3:]:
+                event, weight = event + "-not", weight - 0.5
+            if "report" in before:
+                event, weight = event + "-said", weight - 0.3
+            if any(k == "target" for k, _ in tokens):
+                event, weight = event + "-at", weight + 0.3
+            sums[event] += max(weight, 0.1)
+    total = sum(sums.values())
+    x = [math.log1p(sums[e]) for e in EVENTS] + [math.log1p(total), float(any(sums[e] for e in EVENTS[:8])), 100 * total / (100 + len(re.findall(r"[^\W\d_]+", low)))]
+    return 1 / (1 + math.exp(-max(-30, min(30, model["bias"] + sum(a * b for a, b in zip(model["beta"], x, strict=True))))))
+
+
+def test_scores_against_plain_rules():
+    rng = random.Random(9)
+    model = learn([(t, y) for _, t, y in corpus(300)])
+    words = [w for ws in SEEDS.values() for w in ws.split()] + list(model["lexicon"])[:40] + ["plain", "word", "x1", ".", "!", "\n", ";", "Grubbelish"]
+    scorer = Scorer(model)
+    for _ in range(400):
+        text = " ".join(rng.choice(words).rstrip("*") for _ in range(rng.randrange(40)))
+        assert abs(scorer.score(text) - plain_score(model, text)) < 1e-9, text
+    assert abs(scorer.score(None) - plain_score(model, None)) < 1e-9
+
+
 def corpus(n, seed=1):
     rng = random.Random(seed)
     words = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in "lmnrst"]
