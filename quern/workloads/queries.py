@@ -14,16 +14,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..catalog import Engine
-from ..errors import EngineError
+from ..errors import EngineError, TransactionAborted
+from ..functions.render import render
 from ..operators.frames import build, gather
 from ..plans.analyze import Scope, bind
 from ..plans.lang import parse
 from ..resume.sql import Killed, SqlRun
 from ..resume.units import ResumableQuery
-from ..sources.tables import CORE, bounds, parquet_table, parquet_tables
+from ..sources.tables import CORE, bounds, parquet_table, parquet_tables, read_separated, write_separated
 from ..streaming.changelog import read_state, replay, replay_stream, table_state
 from .transactions import NEW_ORDERS_SQL, PAYMENT_COUNTS_SQL, PAYMENTS_SQL, new_orders, payment_counts, payments
 
@@ -129,26 +131,30 @@ def tier_b(text: str) -> Query:
     return run
 
 
+def places(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows with the places in which they are delivered: partitions in order, rows in order within."""
+    path = place(spark, "sorted")
+    rows.withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    held = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("at", T.LongType())])).parquet(path).withColumn("part", F.shiftright("at", 33))
+    before, starts = 0, []
+    for part, n in sorted(map(tuple, held.groupBy("part").count().collect())):  # a row a partition
+        starts.append((part, before))
+        before += n
+    starts = F.broadcast(spark.createDataFrame(starts, "part long, before long"))
+    return held.join(starts, "part").select(*rows.columns, (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
+
+
 def delivered(desc: bool) -> Query:
-    """Values with the places they have in the engine's own sorted output: partitions in order, rows in order within."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        rows = spj(spark, folder, "select o_totalprice from orders order by o_totalprice" + " desc" * desc)
-        path = place(spark, "sorted")
-        rows.withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
-        held = spark.read.schema("o_totalprice double, at long").parquet(path).withColumn("part", F.shiftright("at", 33))
-        before, starts = 0, []
-        for part, n in sorted(map(tuple, held.groupBy("part").count().collect())):  # a row a partition
-            starts.append((part, before))
-            before += n
-        starts = F.broadcast(spark.createDataFrame(starts, "part long, before long"))
-        return held.join(starts, "part").select("o_totalprice", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
+        return places(spark, spj(spark, folder, "select o_totalprice from orders order by o_totalprice" + " desc" * desc))
 
     return run
 
 
 def gather_parallel(spark: SparkSession, folder: str) -> DataFrame:
+    """A scan in four ranges of the key, with the order in which they are gathered."""
     rows = spj(spark, folder, "select o_orderkey, o_custkey from orders where o_totalprice > 1000.")
-    return gather(rows, "o_orderkey", 4)
+    return places(spark, gather(rows, "o_orderkey", 4))
 
 
 def column_bounds(spark: SparkSession, folder: str) -> DataFrame:
@@ -346,11 +352,89 @@ def freshness(spark: SparkSession, folder: str) -> DataFrame:
     return lags.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY lag)").cast("long").alias("p95_us"), F.max("lag").alias("worst_us"), F.count("*").alias("reads"))
 
 
+#: Statements that have to fail, and how.
+REFUSED = (
+    ("insert into nation values (200, 'A', 'B')", "IncompatibleType"),
+    ("insert into nation values (200, 'A')", "InvalidValueCount"),
+    ("insert into nowhere values (1)", "TableNotFound"),
+    ("insert into nation values (3, 'TWICE', 0)", "PrimaryKeyRepeat"),
+    ("insert into nation values (200, 'twenty-six characters long', 0)", "StringOverflow"),
+    ("update nation set n_nationkey = 2 where n_nationkey = 1", "PrimaryKeyRepeat"),
+    ("update nation set n_name = 5", "IncompatibleType"),
+    ("create table NATION (x int, primary key(x))", "TableExists"),
+    ("create table t (x int)", "SyntaxFailure"),
+    ("drop table nowhere", "TableNotFound"),
+    ("create index nation(oops)", "ColumnNotFound"),
+    ("drop index nation(n_name)", "IndexNotFound"),
+    ("create index region(r_name)", None),
+    ("create index region(r_name)", "IndexExists"),
+    ("drop index region(r_name)", None),
+    ("select oops from nation", "ColumnNotFound"),
+    ("select n_name from nation, region where oops.n_name = r_name", "TableNotFound"),
+    ("select n_name from nation where n_nationkey = 'x'", "IncompatibleType"),
+    ("select n_name from nation where n_nationkey > 1.5", "IncompatibleType"),
+    ("select n_name from nation, region where n_name = r_regionkey", "IncompatibleType"),
+    ("select x from a, b", "TableNotFound"),
+    ("select k from one, two", "AmbiguousColumn"),
+    ("selec", "SyntaxFailure"),
+    ("commit", "TransactionAborted"),
+)
+
+
+def refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """What each statement fails with, and the table that must be as it was."""
+    engine = region_engine(spark, folder)
+    for name in ("one", "two"):
+        engine.sql(f"create table {name} (k int, primary key(k))")
+    out = []
+    for k, (text, _) in enumerate(REFUSED):
+        try:
+            engine.sql(text)
+            out.append((k, None))
+        except EngineError as e:
+            out.append((k, type(e).__name__))
+    left = engine.sql("select * from nation").count()
+    return spark.createDataFrame([(*row, left) for row in out], "statement int, error string, left_rows long")
+
+
+def conflict(spark: SparkSession, folder: str) -> DataFrame:
+    """Two transactions change one table: the first to commit wins, the other is aborted; a third one on another table is not disturbed."""
+    one = region_engine(spark, folder)
+    two, three = Engine(spark, one.store.root), Engine(spark, one.store.root)
+    for e in (one, two, three):
+        e.sql("begin")
+    one.sql("delete from nation where n_regionkey = 0")
+    two.sql("delete from nation where n_regionkey = 1")
+    three.sql("insert into region values (50, 'NEW')")
+    one.sql("commit")
+    with contextlib.suppress(TransactionAborted):
+        two.sql("commit")
+    three.sql("commit")
+    return one.sql("select n_nationkey, r_name from nation, region where n_regionkey <> r_regionkey")
+
+
+def rendered(spark: SparkSession, folder: str) -> DataFrame:
+    text = render(spj(spark, folder, "select r_regionkey, r_name from region order by r_regionkey"))
+    return spark.createDataFrame([(text,)], "reply string")
+
+
+def separated(spark: SparkSession, folder: str) -> DataFrame:
+    """Through comma-separated files with a header, then through `!`-separated ones into a table."""
+    engine, path = region_engine(spark, folder), place(spark, "files")
+    df = parquet_table(spark, f"{folder}/nation.parquet")
+    write_separated(df, f"{path}/csv", header=True)
+    write_separated(read_separated(spark, f"{path}/csv", df.schema, header=True), f"{path}/bulk", "!")
+    engine.sql("create table again (n_nationkey int, n_name char(25), n_regionkey int, primary key(n_nationkey))")
+    engine.insert_rows("again", read_separated(spark, f"{path}/bulk", df.schema, "!"))
+    return engine.sql("select * from again")
+
+
+_refused = ", ".join(f"({k}, {repr(e) if e else 'NULL'})" for k, (_, e) in enumerate(REFUSED))
 RESUMED = "SELECT n_name, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
 MADE: dict[str, tuple[Query, str]] = {
     "sort_asc": (delivered(False), "SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice) AS place FROM orders"),
     "sort_desc": (delivered(True), "SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC) AS place FROM orders"),
-    "gather_parallel": (gather_parallel, "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 1000"),
+    "gather_parallel": (gather_parallel, "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE o_totalprice > 1000"),
     "column_bounds": (column_bounds, "SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders"),
     "log_replay_latest": (log_replay_latest, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
     "dml_insert": (after("insert into nation values (100, 'NEW', 4)"), "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'NEW', 4"),
@@ -360,6 +444,11 @@ MADE: dict[str, tuple[Query, str]] = {
     "txn_commit": (after("begin", "insert into nation values (100, 'NEW', 4)", "delete from nation where n_nationkey = 0", "commit"), "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey <> 0 UNION ALL SELECT 100, 'NEW', 4"),
     "txn_abort": (after("begin", "delete from nation where n_nationkey >= 0", "insert into nation values (1, 'A', 1)", "rollback"), "SELECT * FROM nation"),
     "ddl_tables": (after("create table t1 (num int, primary key(num))", then="show tables"), "SELECT unnest(['region', 'nation', 't1']) AS \"Tables\""),
+    "ddl_drop": (after("create table gone (x int, primary key(x))", "drop table GONE", "drop table region", then="show tables"), "SELECT 'nation' AS \"Tables\""),
+    "refusals": (refusals, f"SELECT statement, error, (SELECT count(*) FROM nation) AS left_rows FROM (VALUES {_refused}) t(statement, error)"),
+    "txn_conflict": (conflict, "SELECT n_nationkey, r_name FROM nation, (SELECT r_regionkey, r_name FROM region UNION ALL SELECT 50, 'NEW') r WHERE n_regionkey <> 0 AND n_regionkey <> r_regionkey"),
+    "render_reply": (rendered, "SELECT rule || head || rule || string_agg('| ' || lpad(r_regionkey::VARCHAR, 16, ' ') || ' | ' || lpad(r_name, 16, ' ') || ' |' || chr(10), '' ORDER BY r_regionkey) || rule || 'Total record(s): ' || count(*) || chr(10) AS reply FROM region, (SELECT '+' || repeat('-', 18) || '+' || repeat('-', 18) || '+' || chr(10) AS rule, '| ' || lpad('r_regionkey', 16, ' ') || ' | ' || lpad('r_name', 16, ' ') || ' |' || chr(10) AS head) GROUP BY rule, head"),
+    "separated_files": (separated, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
     "ddl_desc": (after(then="desc nation"), "SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS \"Field\", unnest(['INT', 'CHAR', 'INT']) AS \"Type\""),
     "dml_log_state": (dml_log_state, "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'RENAMED' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey >= 3 UNION ALL SELECT 99, 'NEW', 0"),
     "snapshot_read": (snapshot_read, "SELECT * FROM nation"),
