@@ -1,3 +1,4 @@
+import random
 import re
 
 from quern.llm.hosts import filter_urls
@@ -57,3 +58,31 @@ def test_empty_table_and_clashing_columns(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string, host int, src string")
     out = filter_urls(pages, URL_RULES)
     assert out.columns == ["page_id", "url", "html", "host", "src", "path", "rule", "verdict", "trust", "distrust"] and out.count() == 0
+
+
+def test_a_host_with_most_pages_and_many_links(spark):
+    """A third of the pages and null urls on hot hosts, links over many hosts; repeated pages count as often as they stand."""
+    rng = random.Random(4)
+    hosts = [f"h{k}.org" for k in range(60)] + ["good.com", "spam.net"]
+    edges, pages = [], []
+    for k in range(3600):
+        src = "hot.org" if k % 3 == 0 else rng.choice(hosts)
+        dst = rng.choice(hosts) if rng.random() < 0.3 else None
+        if dst and dst != src:
+            edges.append((src, dst))
+        path = "/es/" if src == "spam.net" else "/"
+        pages.append((k, f"http://{src}{path}{k}", f"<a href=//{dst}/>" if dst else None))
+    pages += [(4000 + k, None, None) for k in range(1200)] + [pages[0]] * 3
+    edges += [(("hot.org"), dst) for _, _, html in [pages[0]] * 3 if html for dst in [html[10:-2]] if dst != "hot.org"]
+    got = filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()
+    assert len(got) == len(pages)
+    trust, distrust = plain_ranks(edges, {"good.com": 1.0}), plain_ranks([(b, a) for a, b in edges], {"spam.net": 1.0})
+    for r in got:
+        assert abs(r.trust - trust.get(r.host, 0)) < 1e-9 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-9
+        assert r.verdict == (brute(r.url)[3] or ("block" if distrust.get(r.host, 0) > trust.get(r.host, 0) else "allow"))
+
+
+def test_of_equally_long_rules_block_wins(spark):
+    rules = [("allow", "a.com/x"), ("block", "a.com/x"), ("block", "b.org/"), ("allow", "b.org/")]
+    pages = spark.createDataFrame([(1, "http://a.com/xy", ""), (2, "http://w.b.org/", "")], "page_id long, url string, html string")
+    assert {r.verdict for r in filter_urls(pages, rules).collect()} == {"block"}

@@ -1,7 +1,10 @@
 import hashlib
 import random
 
-from quern.llm.lines import dedup_lines
+from pyspark.sql import functions as F
+
+from quern.llm.common import Scratch
+from quern.llm.lines import KEY, ORDERED, LineRuns, dedup_lines, ordered_buckets
 
 WS = " \t\n\x0b\x0c\r"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,3 +60,16 @@ def test_query_digest(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     for i, text, n, dropped in brute(rows):
         assert (got[i].kept_sha256, got[i].n_lines, got[i].n_dropped) == (hashlib.sha256(text.encode()).hexdigest(), n, dropped)
+
+
+def test_runs_meet_without_exchange_or_sort(spark):
+    runs = LineRuns(spark, Scratch(spark, "lines"), buckets=4)
+    keys = spark.range(2000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", "id").alias("h2"))
+    one, two = runs._write(keys, 0), runs._write(keys.where("h1 % 3 = 0"), 0)
+    with ordered_buckets(spark):
+        met = spark.table(one).join(spark.table(two).hint("merge"), list(KEY), "left_anti")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan
+        assert met.count() == keys.where("h1 % 3 <> 0").count()
+    assert spark.conf.get(ORDERED, None) in (None, "false")
+    runs.close()
