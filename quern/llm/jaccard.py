@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, column, components, meet, unfold, with_row
 from .counts import packed, summed
 from .shingles import mix, shingle_sets, small_batches
-from .sift import may_hold
+from .sift import held_in, key_filter, may_hold
 
 LEAST_BITS, MOST_BITS = 18, 20
 #: Rows of one prefix key that a task takes; keys of larger hash buckets are salted.
@@ -111,12 +111,12 @@ def _verify(words: int, percent: int):
     return run
 
 
-def _texts_with_digest(words: int):
-    """Digests and texts, each text once a task."""
+def _wanted_texts(words: int, shared, bits: int):
+    """(key, text) rows -> digests and texts of those whose key is in the filter, each text once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in small_batches(batches):
-            texts = batch.column(0)
+            texts = batch.column(1).filter(pa.array(held_in(batch.column(0).to_numpy(zero_copy_only=False), shared.value, bits)))
             found = [_digest(s) for s in shingle_sets(texts, words)]
             take = [k for k, d in enumerate(found) if not (d in seen or seen.add(d))]
             yield pa.RecordBatch.from_arrays([*[pa.array([found[k][c] for k in take], pa.int64()) for c in (0, 1)], texts.take(pa.array(take, pa.int64()))], names=["d1", "d2", "text"])
@@ -197,8 +197,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
         """The links among candidates (a, b): the texts of their ends are fetched and each pair is judged once."""
         ends = candidates.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
         ends = scratch.put(reps.join(ends, "d1", "left_semi").select("d1", "d2", "rep"), f"ends-{name}")
-        named = may_hold(ends.select(F.xxhash64("rep")), F.xxhash64("id"), ends.count())
-        found = rows.where(named).select("text").mapInArrow(_texts_with_digest(words), "d1 long, d2 long, text string")
+        bitmap, bits = key_filter(ends.select(F.xxhash64("rep")), ends.count())
+        found = rows.select(F.xxhash64("id"), "text").mapInArrow(_wanted_texts(words, spark.sparkContext.broadcast(bitmap), bits), "d1 long, d2 long, text string")
         texts = found.join(ends.select("d1", "d2"), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
         texts = scratch.put(texts, f"texts-{name}")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import mix
+from .shingles import mix, settle
 
 #: Bits for each key, and the powers of two between which the filter's size stays (16 MB at most).
 BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 16, 27
@@ -51,6 +51,12 @@ def key_filter(keys: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return np.packbits(out[: 1 << bits]), bits
 
 
+def held_in(keys: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each key may be among those of a filter."""
+    at = _places(keys, bits)
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
 def may_hold(keys: DataFrame, key: Column, count: int) -> Column:
     """Whether a row's key (a long, not null) may be among `keys`: true for all that are."""
     packed, bits = key_filter(keys, count)
@@ -58,9 +64,8 @@ def may_hold(keys: DataFrame, key: Column, count: int) -> Column:
 
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        held = shared.value
         for batch in batches:
-            at = _places(batch.to_numpy(), bits)
-            yield pd.Series((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0)
+            yield pd.Series(held_in(batch.to_numpy(), shared.value, bits))
+        settle()
 
     return run(key)

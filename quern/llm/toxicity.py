@@ -179,23 +179,26 @@ def learn(rows: list[tuple[str, int]], stems: tuple[int, ...] = (4, 5, 6), least
     Toxic texts that share their smallest word hashes count once, so a group of
     copies teaches no word of its own.
     """
-    toxic, held, clean = [], set(), sum(not label for _, label in rows)
-    for text, label in rows:
-        if not label:
-            continue
-        found = set(WORD.findall(text.lower()))
-        if (copy := tuple(sorted(zlib.crc32(w.encode()) for w in found)[:3])) not in held:
-            held.add(copy)
-            toxic.append(found)
+    clean, held, toxic = sum(not label for _, label in rows), set(), []
+    for k, (text, label) in enumerate(rows):
+        if label:
+            copy = tuple(sorted({zlib.crc32(w.encode()) for w in WORD.findall(text.lower())})[:3])
+            if copy not in held:
+                held.add(copy)
+                toxic.append(k)
     lexicon: dict[str, float] = {}
     if toxic and clean:
-        hits = Counter(e for doc in toxic for e in {e for w in doc for e in _entries(w, stems)})
+        # entries are counted by hash first, so that the many rare ones are never held as strings
+        entries = lambda text: {e for w in set(WORD.findall(text.lower())) for e in _entries(w, stems)}
+        hashes, n = np.unique(np.concatenate([np.unique(np.array([zlib.crc32(e.encode()) for e in entries(rows[k][0])], np.uint32)) for k in toxic]), return_counts=True)
         least = max(4, 0.003 * len(toxic))
+        often = set(hashes[n >= least].tolist())
+        hits = Counter(e for k in toxic for e in entries(rows[k][0]) if zlib.crc32(e.encode()) in often)
         hits = {e: n for e, n in hits.items() if n >= least}
         misses: Counter[str] = Counter()
         for text, label in rows:  # one text's words at a time
             if not label:
-                misses.update({e for w in set(WORD.findall(text.lower())) for e in _entries(w, stems) if e in hits})
+                misses.update(e for e in entries(text) if e in hits)
         odds = {e: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((misses[e] + 0.5) / (clean + 1)) for e, n in hits.items()}
         best = sorted((e for e in odds if odds[e] >= least_odds), key=lambda e: (-odds[e] * hits[e], e))[:size]
         lexicon = {e: round(min(odds[e], 8.0) / 4, 4) for e in best}
