@@ -33,6 +33,15 @@ NOTICES = (
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def lowered(text: Column) -> Column:
+    """A text in which words of ASCII stand as if only A-Z had been lower-cased, and words begin and end as they do then.
+
+    lower() also changes other capitals, into characters beyond ASCII that no
+    phrase holds; all but the two that become ASCII letters.
+    """
+    return F.when(text.contains("\u0130") | text.contains("\u212a"), ascii_lower(text)).otherwise(F.lower(text))
+
+
 def postings() -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {}
     for k, (_, text, _) in enumerate(NOTICES):
@@ -58,7 +67,7 @@ def starts(found: Column, phrase: str) -> Column:
 def rarity(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     """Inverse document frequency of each word of the notices, from counts over all documents."""
     vocabulary = F.array(*[F.lit(w) for w in sorted(postings())])
-    found = docs.select(F.explode(F.array_intersect(F.split(ascii_lower(column(text_col)), SPLIT), vocabulary)).alias("word"))
+    found = docs.select(F.explode(F.array_intersect(F.split(lowered(column(text_col)), SPLIT), vocabulary)).alias("word"))
     held = {r["word"]: r["count"] for r in found.groupBy("word").count().collect()}  # a row per notice word at most
     n = docs.count()
     return {w: math.log((n + 1) / (held.get(w, 0) + 1)) + 1 for w in postings()}
@@ -80,7 +89,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", agree: int = 3) -> Da
     idf = rarity(docs, text_col)
     index = postings()
     rows = with_row(docs, __text=text_col)
-    norm = F.btrim(F.regexp_replace(ascii_lower(F.coalesce("__text", F.lit(""))), SPLIT, " "))
+    norm = F.btrim(F.regexp_replace(lowered(F.coalesce("__text", F.lit(""))), SPLIT, " "))
     rows = fixed(rows, norm=norm)
     rows = fixed(rows, w=F.when(F.col("norm") != "", F.split("norm", " ")).otherwise(F.array().cast("array<string>")))
     none = F.array().cast("array<int>")

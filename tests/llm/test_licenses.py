@@ -27,7 +27,7 @@ def test_supplied_documents(spark):
 
 def test_notices_and_odd_rows(spark):
     rows = [(k, f"Some filler é words, then: {text.upper()}. And more.") for k, (_, text, _) in enumerate(NOTICES)]
-    rows += [(50, None), (51, ""), (52, "MIT-License mit license; CC BY 4.0 mit licenses"), (53, "mit license " * 30_000), (54, "permission is hereby granted free of nothing"), (55, "software copyright license to of the and files"), (None, "cc by"), (56, "cc by"), (56, "cc by")]
+    rows += [(50, None), (51, ""), (52, "MIT-License mit license; CC BY 4.0 mit licenses"), (53, "mit license " * 30_000), (54, "permission is hereby granted free of nothing"), (55, "software copyright license to of the and files"), (None, "cc by"), (56, "cc by"), (56, "cc by"), (57, "M\u0130T l\u0130cense, MIT \u0130 License"), (58, "\u212a MIT LICENSE wor\u212a of ÉÀ Mit-\u03a3 license")]
     got = scan_licenses(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")).collect()
     by = {r.doc_id: r for r in got}
     for r in got:
