@@ -134,12 +134,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Group the documents whose sets of `words`-word shingles are `percent` per cent similar or more.
 
     Returns one row per input row: id, n_shingles, class (hex digest of the
-    shingle set), n_links (links of its class with other classes that were
-    verified; spanning links, not all) and component_id (smallest id reachable).
+    shingle set), n_links and component_id (smallest id reachable).  n_links
+    counts the links of its class with other classes that were verified: they
+    span its component; pairs that are in one component already are not verified
+    again, for a group of m near copies has m * m / 2 of them.
     A text of fewer words has one shingle, its whole sequence; an empty or null
-    text has none and links with nothing, not even its like.  Ids may be null or
-    repeat: rows are compared by text, and the smallest id that is not null
-    names a component.  An empty table gives an empty table.
+    text has none and links with nothing, not even its like.  Ids have to be
+    integers, or strings of them, and may be null or repeat: rows are compared
+    by text, and the smallest id that is not null names a component.  Other
+    columns play no part; an empty table gives an empty table.
     """
     out = _grouped(docs, id_col, text_col, words, percent)
     name = F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0"))

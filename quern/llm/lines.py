@@ -116,7 +116,7 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 4, fanout: int = 2, min_length: int = 10) -> DataFrame:
     """Drop every line whose key (stripped, A-Z lower-cased, of at least `min_length` code points) an earlier document holds.
 
-    Documents enter in `batches` ranges of their ids, so the smallest id of a
+    Ids have to be numbers.  Documents enter in `batches` ranges of them, so the smallest id of a
     key keeps its lines, all of them.  Returns the input's columns with the kept
     lines, joined by \\n, in place of the text, and n_lines (before) and
     n_dropped.  Null or empty text is one empty line.  A null id is larger than
