@@ -1,4 +1,4 @@
-"""Bound queries as DataFrames: filtered scans, a left-deep join in the order of FROM, a sort, a projection.
+"""Bound queries as DataFrames: filtered scans, a left-deep join from the largest table on, a sort, a projection.
 
 Everything is declarative: Catalyst pushes the filters and the columns into the
 scans and picks the joins.
@@ -44,11 +44,24 @@ def scan(df: DataFrame, table: str, conditions: list[Compare], scope: Scope) ->
     return out if where is None else out.where(where)
 
 
+def joined_order(query: Bound, scans: dict[str, DataFrame]) -> list[str]:
+    """The largest scan first, so that the others are what a join builds; then, time and again, the table with the most conditions on those before, the largest of several."""
+    if len(scans) < 2:
+        return list(scans)
+    size = {t: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t, df in scans.items()}
+    out = [max(query.tables, key=size.get)]
+    while len(out) < len(scans):
+        met = {t: sum({t} < {c.left.table, c.right.table} <= {t, *out} for c in query.across) for t in query.tables if t not in out}
+        out.append(max(met, key=lambda t: (met[t], size[t])))
+    return out
+
+
 def join_tables(query: Bound, frames: dict[str, DataFrame], scope: Scope) -> DataFrame:
-    """Inner joins in FROM's order; a condition applies as soon as both its tables are in, any comparison; none is a cross join."""
+    """Inner joins; a condition applies as soon as both its tables are in, any comparison; none is a cross join."""
+    scans = {t: scan(frames[t], t, query.local[t], scope) for t in query.tables}
     out, seen, left = None, set(), list(query.across)
-    for table in query.tables:
-        right = scan(frames[table], table, query.local[table], scope)
+    for table in joined_order(query, scans):
+        right = scans[table]
         seen.add(table)
         ready = [c for c in left if {c.left.table, c.right.table} <= seen]
         left = [c for c in left if c not in ready]

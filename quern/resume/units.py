@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 from py4j.protocol import Py4JError
@@ -48,9 +49,9 @@ def inside(column: str, cuts: Sequence, k: int, kind: str) -> Column:
 class ResumableQuery:
     """A query over one partitioned input, in units, with an optional merge of their union."""
 
-    def __init__(self, spark: SparkSession, root: str, text: str, source: DataFrame, column: str, query: Callable[[DataFrame], DataFrame], parts: int = 4, merge: Callable[[DataFrame], DataFrame] | None = None, version: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, text: str, source: DataFrame, column: str, query: Callable[[DataFrame], DataFrame], parts: int = 4, merge: Callable[[DataFrame], DataFrame] | None = None, version: int | None = None, together: int = 4):
         self.spark, self.root, self.folder = spark, root, Folder(spark, root)
-        self.source, self.column, self.query, self.merge = source, column, query, merge
+        self.source, self.column, self.query, self.merge, self.together = source, column, query, merge, together
         digest = hashlib.sha256(f"{text}|{column}|{parts}|{version}".encode()).hexdigest()
         if self.folder.has("journal.json"):
             self.journal = self.folder.get("journal.json")
@@ -67,18 +68,21 @@ class ResumableQuery:
     def done(self) -> list[int]:
         return [k for k in self.units() if self.folder.has(f"done-{k}.json")]
 
+    def _unit(self, k: int) -> int:
+        part = self.query(self.source.where(inside(self.column, self.journal["cuts"], k, self.journal["kind"])))
+        part.write.mode("overwrite").parquet(f"{self.root}/unit={k}")
+        self.folder.put(f"done-{k}.json", {"unit": k, "at": time.time()})
+        return k
+
     def run(self, most: int | None = None) -> list[int]:
-        """Do the units that are missing, at most `most`; returns those done now."""
-        out = []
-        for k in self.units():
-            if len(out) == most:
-                break
-            if not self.folder.has(f"done-{k}.json"):
-                part = self.query(self.source.where(inside(self.column, self.journal["cuts"], k, self.journal["kind"])))
-                part.write.mode("overwrite").parquet(f"{self.root}/unit={k}")
-                self.folder.put(f"done-{k}.json", {"unit": k, "at": time.time()})
-                out.append(k)
-        return out
+        """Do the units that are missing, at most `most`, a few at a time; returns those done now.
+
+        Units are jobs of their own, so the last tasks of one leave no core idle
+        while another waits; if one fails, the others' results stay.
+        """
+        done = set(self.done())
+        with ThreadPoolExecutor(self.together) as pool:
+            return sorted(pool.map(self._unit, [k for k in self.units() if k not in done][:most]))
 
     def result(self) -> DataFrame:
         self.run()

@@ -90,12 +90,12 @@ PARTS = f"{STAR} JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey =
 SQL = {
     "q1": f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum({REV}), 4) AS sum_disc, round(sum({REV} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 4) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-01 00:00:00' GROUP BY l_returnflag, l_linestatus",
     "q2": "WITH best AS (SELECT l_partkey, min(l_extendedprice / l_quantity) AS cost FROM lineitem GROUP BY l_partkey) SELECT s_acctbal, s_name, n_name, p_partkey, round(cost, 6) AS cost FROM part JOIN lineitem ON p_partkey = lineitem.l_partkey JOIN best ON best.l_partkey = lineitem.l_partkey AND l_extendedprice / l_quantity = cost JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_size = 15 AND p_type LIKE '%S%' ORDER BY s_acctbal DESC, n_name, s_name, p_partkey, cost LIMIT 100",
-    "q3": f"SELECT l_orderkey, round(sum({REV}), 4) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1995-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate",
+    "q3": f"SELECT l_orderkey, round(sum({REV}), 4) AS revenue, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1995-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate",
     "q4": "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1996-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-07-01 00:00:00' + INTERVAL 3 MONTH AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority",
-    "q5": f"SELECT n_name, round(sum({REV}), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY n_name",
+    "q5": f"SELECT n_name, round(sum({REV}), 4) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY n_name",
     "q6": "SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
-    "q7": f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INT) AS l_year, round(sum({REV}), 4) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE ((n1.n_name = 'NATION_6' AND n2.n_name = 'NATION_7') OR (n1.n_name = 'NATION_7' AND n2.n_name = 'NATION_6')) GROUP BY n1.n_name, n2.n_name, year(l_shipdate)",
-    "q10": f"SELECT c_custkey, c_name, round(sum({REV}), 4) AS revenue, c_acctbal, n_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1996-10-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-10-01 00:00:00' + INTERVAL 3 MONTH AND l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name",
+    "q7": f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INT) AS l_year, round(sum({REV}), 4) AS revenue FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE ((n1.n_name = 'NATION_6' AND n2.n_name = 'NATION_7') OR (n1.n_name = 'NATION_7' AND n2.n_name = 'NATION_6')) GROUP BY n1.n_name, n2.n_name, year(l_shipdate)",
+    "q10": f"SELECT c_custkey, c_name, round(sum({REV}), 4) AS revenue, c_acctbal, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1996-10-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-10-01 00:00:00' + INTERVAL 3 MONTH AND l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name",
     "ssb_q1_1": f"SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM {STAR} WHERE {YEAR} = 1996 AND l_discount BETWEEN 0.01 AND 0.03 AND l_quantity < 25",
     "ssb_q1_2": f"SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM {STAR} WHERE {YEAR} = 1996 AND month(o_orderdate) = 1 AND l_discount BETWEEN 0.04 AND 0.06 AND l_quantity BETWEEN 26 AND 35",
     "ssb_q1_3": f"SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM {STAR} WHERE {YEAR} = 1996 AND month(o_orderdate) = 2 AND dayofmonth(o_orderdate) <= 14 AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity BETWEEN 26 AND 35",
@@ -278,7 +278,8 @@ def join_tree(frames: dict[str, DataFrame], joins: int, every: int = 8) -> DataF
     for k in range(joins):
         if k < len(TREE):
             table, key, met = TREE[k]
-            out = out.join(frames[table], F.col(key) == F.col(met))
+            on = F.col(key) == F.col(met)
+            out = frames[table].join(out, on) if table == "lineitem" else out.join(frames[table], on)  # what is joined to the largest table is what a join builds
         else:
             table, key = AGAIN[(k - len(TREE)) % len(AGAIN)]
             again = frames[table].select(*[F.col(c).alias(f"{c}_{k}") for c in frames[table].columns])
